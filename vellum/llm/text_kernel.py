@@ -67,13 +67,15 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes, offsets
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of every word, n + 1 word offsets of the documents, byte starts, byte ends)."""
+def words(texts: pa.Array, with_bytes: bool = False) -> tuple[np.ndarray, ...]:
+    """(hash of every word, n + 1 word offsets of the documents, byte starts, byte ends) and, on demand, the
+    lower-cased bytes that these refer to."""
     n = len(texts)
     lowered = pc.utf8_lower(texts.cast(pa.large_string()))
     raw, offsets = string_bytes(pc.binary_join_element_wise(pc.fill_null(lowered, ""), pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string())))
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64), none, none, *([raw] if with_bytes else [])
     inside = _IS_WORD[raw].view(np.int8)
     edge = np.diff(inside, prepend=np.int8(0))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # a text ends in a separator
@@ -82,7 +84,7 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     sums[0] = 0
     np.cumsum(_T[raw] * power[: len(raw)], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * inverse[starts])
-    return hashes, np.searchsorted(starts, offsets), starts, ends
+    return hashes, np.searchsorted(starts, offsets), starts, ends, *([raw] if with_bytes else [])
 
 
 def ngram_hashes(hashes: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +113,7 @@ def ngram_hashes(hashes: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.nd
     return grams, out
 
 
-def chunks(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, column: str | int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of at most ``most`` bytes of text, or of one row, whole: work arrays stay small."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     begin, total = 0, 0
@@ -122,3 +124,14 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[
         total += size
     if begin < batch.num_rows:
         yield batch.slice(begin)
+
+
+def span_hashes(hashes: np.ndarray, index: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the run of ``length`` words that begins at each index."""
+    if not len(index):
+        return np.zeros(0, np.uint64)
+    power, inverse = _powers(len(hashes) + 1)
+    sums = np.empty(len(hashes) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(hashes * power[: len(hashes)], out=sums[1:])
+    return mix((sums[index + length] - sums[index]) * inverse[index])
