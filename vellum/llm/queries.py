@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import decontaminate, jaccard, licenses, secrets, sentencepieces, substrings, toxicity
+from vellum.llm import decontaminate, html, jaccard, licenses, neighbours, secrets, sentencepieces, substrings, tokenout, toxicity
 from vellum.session import table
 
 
@@ -18,14 +18,26 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents"))
 
 
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenout.encode(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.reject(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,8 +50,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op4_sentencepiece, op6_toxicity, op8_decontamination, op9_substring_dedup, op10_license_scan)
-}
+_ALL = (
+    op1_ngram_jaccard_join, op2_secret_scan, op3_html_extraction, op4_sentencepiece, op5_token_output,
+    op6_toxicity, op7_nearest_neighbours, op8_decontamination, op9_substring_dedup, op10_license_scan,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLE: dict[str, str] = {"op10_license_scan": licenses.sql()}
