@@ -86,6 +86,26 @@ def distinct(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return *bags(raw, starts[index], ends[index]), inverse.reshape(-1), offsets
 
 
+def vocabulary(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``distinct`` of many texts, a megabyte of them at a time: the driver has little memory."""
+    places, lengths, names, ids, sizes = [], [], np.zeros(0, np.uint64), [], []
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["t"])
+    for part in chunks(batch, 0, 1 << 20):
+        hashes, offsets, starts, ends, raw = words(part.column(0), with_bytes=True)
+        places.append(hashes)
+        lengths.append(np.diff(offsets))
+        own, index = np.unique(hashes, return_index=True)
+        new = ~np.isin(own, names)
+        names = np.concatenate([names, own[new]])
+        bag, first = bags(raw, starts[index[new]], ends[index[new]])
+        ids.append(bag.astype(np.int32))
+        sizes.append(np.diff(first))
+    order = np.argsort(names)
+    at = order[np.searchsorted(names[order], np.concatenate(places))]
+    first = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    return np.concatenate(ids), first, at.astype(np.int32), np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+
+
 def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, text) of every window; a text shorter than a window is one."""
     length = np.diff(offsets)
@@ -124,8 +144,9 @@ def train(texts: list[str], toxic: list[int], seed: int = 7, steps: int = STEPS)
     The windows are chosen anew at each step."""
     y = np.array(toxic, np.float64)
     share = np.zeros(BUCKETS)
-    array = pa.array(texts, pa.large_string())
-    bag, first, flat, offsets = distinct(array)
+    if not texts:
+        return Model(share, -50.0)
+    bag, first, flat, offsets = vocabulary(texts)
     some = np.diff(offsets) > 0
     y = y[some]
     if not len(y) or y.min() == y.max():
@@ -143,14 +164,14 @@ def train(texts: list[str], toxic: list[int], seed: int = 7, steps: int = STEPS)
     E, v, b = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.5, DIM), 0.0
     mE, vE, mv, vv, mb, vb = np.zeros_like(E), np.zeros_like(E), np.zeros(DIM), np.zeros(DIM), 0.0, 0.0
     # Buckets of fewer than LEAST texts stay at zero: what only one text has says nothing of others.
-    text_of = np.repeat(np.arange(len(y)), length)
-    pairs = np.unique(text_of * np.int64(n_words) + flat)
-    text, word = pairs // n_words, pairs % n_words
-    spread = np.repeat(np.arange(len(pairs)), n_grams[word])
-    at = first[word][spread] + np.arange(len(spread)) - np.repeat(np.cumsum(n_grams[word]) - n_grams[word], n_grams[word])
-    seen = np.unique(text[spread] * np.int64(BUCKETS) + bag[at]) % BUCKETS
-    used = np.flatnonzero(np.bincount(seen, minlength=BUCKETS) >= LEAST)
-    back = np.full(BUCKETS, len(used), np.int64)
+    spread = np.zeros(BUCKETS, np.int64)
+    for i in range(len(y)):
+        w = np.unique(flat[offsets[i] : offsets[i + 1]])
+        n = n_grams[w]
+        at = np.repeat(first[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        spread[np.unique(bag[at])] += 1
+    used = np.flatnonzero(spread >= LEAST)
+    back = np.full(BUCKETS, len(used), np.int32)
     back[used] = np.arange(len(used))
     E, mE, vE, bag = E[used], mE[used], vE[used], back[bag]
     zero = np.zeros(1)
