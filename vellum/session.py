@@ -58,3 +58,11 @@ def _remove() -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, with underscores in front until no column has it (names match whatever their case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
