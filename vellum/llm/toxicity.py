@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from vellum.llm.text_kernel import chunks, mix, words
-from vellum.session import ship
+from vellum.session import free_name, ship
 
 SAMPLE = 1500
 WINDOW = 3
@@ -223,7 +223,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def _scored(docs: DataFrame, model: Model, only: str) -> DataFrame:
-    """The input's rows that are toxic (only='toxic') or aren't ('clean'), with all columns and _score."""
+    """The input's rows that are toxic (only='toxic') or aren't ('clean'), with all columns and last the score."""
+    name = free_name("score", docs.columns)
     at = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers, whatever the corpus
 
@@ -233,10 +234,10 @@ def _scored(docs: DataFrame, model: Model, only: str) -> DataFrame:
             for part in chunks(batch, at):
                 scores = model.scores(part.column(at))
                 keep = pa.array((scores >= THRESHOLD) == (only == "toxic"))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], [*part.schema.names, "_score"]).filter(keep)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], [*part.schema.names, name]).filter(keep)
 
     ship(docs.sparkSession)
-    schema = StructType([*docs.schema.fields]).add("_score", "double")
+    schema = StructType([*docs.schema.fields]).add(name, "double")
     return docs.mapInArrow(run, schema)
 
 
@@ -244,7 +245,7 @@ def reject(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
     """(doc_id, score) of the documents that are toxic. One narrow pass once the model is trained."""
     model = fit(docs, labels, sample)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _scored(d, model, "toxic").select("doc_id", F.col("_score").alias("score"))
+    return _scored(d, model, "toxic").select("doc_id", "score")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
