@@ -14,12 +14,23 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 _written: list[tuple[SparkSession, str]] = []
 
 
+#: What the session leaves open: small Arrow batches, since texts can be long.
+_ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it."""
+    """Let Python workers import this package from where the driver has it, and keep them small: large arrays
+    go back to the system when they are freed, and batches are small where the session doesn't say otherwise."""
     env = spark.sparkContext.environment
     paths = [p for p in (env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+        paths = [ROOT, *paths]
+    env["PYTHONPATH"] = os.pathsep.join(paths)
+    env.setdefault("MALLOC_MMAP_THRESHOLD_", str(1 << 20))
+    env.setdefault("MALLOC_ARENA_MAX", "2")
+    for key, value in _ARROW.items():
+        if not spark.sparkContext.getConf().contains(key):
+            spark.conf.set(key, value)
     return spark
 
 
