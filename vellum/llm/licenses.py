@@ -86,33 +86,53 @@ def known() -> dict[str, str]:
     return out
 
 
-def canonical_column(text: Column) -> Column:
-    c = F.regexp_replace(F.lower(text), COPYRIGHT, "$1")
+def equivalent(text: Column) -> Column:
+    """Lower case, with one spelling for each of the equivalent ones."""
+    c = F.lower(text)
     for a, b in EQUIVALENT:
         c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def canonical_line(line: Column) -> Column:
+    """Canonical form of one line of an ``equivalent`` text; a copyright line has none left."""
+    marked = line.contains("copyright") | line.contains("(c)") | line.contains("©")
+    c = F.when(marked, F.regexp_replace(line, COPYRIGHT, "")).otherwise(line)
     return F.trim(F.regexp_replace(c, OTHER, " "))
 
 
 def scan(docs: DataFrame, digests: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, unit, position, license, digest) of every document, paragraph or line that is a known
-    licence text. ``position`` counts units from 0. Narrow up to the join, whose one side is the table of
-    known digests: as large as the list of licences, whatever the corpus."""
+    licence text. Narrow up to the join, whose one side is the table of known digests: as large as the list
+    of licences, whatever the corpus. Each text is canonicalised once, line by line; paragraphs and the
+    document are their lines put together, which is their own canonical form."""
     digests = known() if digests is None else digests
-    spark = docs.sparkSession
-    table = spark.createDataFrame(sorted(digests.items()), "digest string, license string")
+    table = docs.sparkSession.createDataFrame(sorted(digests.items()), "digest string, license string")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("text IS NOT NULL AND text <> ''")
-    lines, paragraphs = F.split("text", "\n"), F.split("text", "\n[ \t\r]*\n")
-
-    def units(kind: str, texts: Column) -> Column:
-        return F.transform(texts, lambda x, i: F.struct(F.lit(kind).alias("unit"), i.cast("long").alias("position"), x.alias("t")))
-
-    whole = F.array(F.struct(F.lit("document").alias("unit"), F.lit(0).cast("long").alias("position"), F.col("text").alias("t")))
-    none = F.array().cast("array<struct<unit:string,position:bigint,t:string>>")
-    more = F.filter(units("paragraph", paragraphs), lambda u: u["t"].contains("\n"))
-    parts = F.concat(whole, F.when(F.size(paragraphs) > 1, more).otherwise(none), F.when(F.size(lines) > 1, units("line", lines)).otherwise(none))
-    d = d.select("doc_id", F.explode(parts).alias("u")).select("doc_id", "u.unit", "u.position", "u.t")
-    d = d.withColumn("c", canonical_column(F.col("t"))).where("c <> ''")
-    d = d.select("doc_id", "unit", "position", F.md5(F.col("c").cast("binary")).alias("digest"))
+    unit = "struct<unit:string,position:bigint,c:string>"
+    none = F.array().cast(f"array<{unit}>")
+
+    def of(kind: str, position: Column, c: Column) -> Column:
+        return F.struct(F.lit(kind).alias("unit"), position.cast("long").alias("position"), c.alias("c"))
+
+    def together(lines: Column) -> Column:
+        return F.array_join(F.filter(lines, lambda x: x != ""), " ")
+
+    d = d.select("doc_id", F.split(equivalent(F.col("text")), "\n").alias("raw"))
+    d = d.select("doc_id", F.transform("raw", canonical_line).alias("lines"), F.when(F.size("raw") > 2, F.transform("raw", lambda x: x.rlike("^[ \t\r]*$"))).alias("blank"))
+    # Paragraphs are cut where a line is empty but for blanks; a run of such lines cuts once.
+    cuts = F.filter(F.transform("blank", lambda x, i: F.when(x & (i > 0) & (i < F.size("blank") - 1), i)), lambda i: i.isNotNull())
+    d = d.select("doc_id", "lines", F.when(F.exists("blank", lambda x: x), cuts).alias("cuts"))
+    begins = F.concat(F.array(F.lit(-1)), F.filter("cuts", lambda i: ~F.array_contains("cuts", i + 1)))
+    ends = F.concat(F.filter("cuts", lambda i: ~F.array_contains("cuts", i - 1)), F.array(F.size("lines")))
+    parts = F.transform(F.arrays_zip(begins.alias("b"), ends.alias("e")), lambda s, k: F.struct(k.alias("k"), (s["e"] - s["b"] - 1).alias("n"), F.slice("lines", s["b"] + 2, F.greatest(s["e"] - s["b"] - 1, F.lit(0))).alias("ls")))
+    paragraphs = F.transform(F.filter(parts, lambda s: s["n"] > 1), lambda s: of("paragraph", s["k"], together(s["ls"])))
+    units = F.concat(
+        F.array(of("document", F.lit(0), together(F.col("lines")))), F.when(F.size("cuts") > 0, paragraphs).otherwise(none),
+        F.when(F.size("lines") > 1, F.transform("lines", lambda x, i: of("line", i, x))).otherwise(none),
+    )
+    d = d.select("doc_id", F.explode(F.filter(units, lambda u: u["c"] != "")).alias("u"))
+    d = d.select("doc_id", "u.unit", "u.position", F.md5(F.col("u.c").cast("binary")).alias("digest"))
     return d.join(F.broadcast(table), "digest").select("doc_id", "unit", "position", "license", "digest")
 
 
