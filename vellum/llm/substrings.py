@@ -39,7 +39,7 @@ WINDOW = LENGTH - PERIOD + 1
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 _BLOB = "bucket int, hashes binary, texts binary, places binary, ids binary"
 _NAMES = ["hashes", "texts", "places", "ids"]
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20
 
 
 def _places(hashes: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
