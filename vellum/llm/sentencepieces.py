@@ -36,7 +36,7 @@ from vellum.session import ship
 UNKNOWN = 10.0
 MARK = "▁"
 #: Parts that a worker keeps, the first it meets.
-KEPT = 500_000
+KEPT = 250_000
 SCHEMA = "doc_id long, ids array<int>, n_pieces int, round_trip boolean"
 
 
