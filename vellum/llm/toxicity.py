@@ -1,10 +1,11 @@
 """Toxicity: a bag of subwords averaged into a linear softmax, trained jointly in numpy.
 
 Every word is its character n-grams (3 to 5, with word-boundary marks) and itself; each n-gram is hashed
-into a bucket with an embedding. A window's vector is the mean of its n-grams' embeddings, and a linear
-softmax over it gives P(toxic). A text's probability is that of its most toxic window, over all its
-windows of ``WINDOW`` words: a long text with one abusive sentence isn't averaged away. Embeddings and
-softmax are trained together, with the loss on each text's highest window, on labelled documents.
+into a bucket with an embedding. A bag's vector is the mean of its n-grams' embeddings, and a linear softmax
+over it gives the classes' logits. A text is read as bags at two levels: the whole text, and each of its
+windows of ``WINDOW`` words. Its logits are those of the whole text's bag plus the mean of its ``TOP`` most
+toxic windows': a long text with two abusive words isn't averaged away, and one chance likeness isn't enough.
+Embeddings and softmax are trained together, on labelled documents, with the windows chosen anew each step.
 
 The two-class softmax depends on the difference of its two rows only, and the model is linear in the
 n-grams. So a word's share is a number, worked out once for each distinct word of a batch.
@@ -34,11 +35,12 @@ from vellum.session import free_name, ship
 
 SAMPLE = 1500
 WINDOW = 3
+TOP = 2
 BUCKETS = 1 << 17
 DIM = 8
-STEPS = 90
-LEAST = 5
-DECAY = 1e-6
+STEPS = 60
+LEAST = 10
+DECAY = 1e-5
 THRESHOLD = 0.5
 _C = 0x9DDFEA08EB382D69
 
@@ -107,13 +109,21 @@ def vocabulary(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, text) of every window; a text shorter than a window is one."""
+    """(start, end, text) of the windows, which follow each other; a text's last one may be shorter."""
     length = np.diff(offsets)
-    k = np.minimum(WINDOW, length)
-    many = np.where(length > 0, length - k + 1, 0)
+    many = -(-length // WINDOW)
     text = np.repeat(np.arange(len(length)), many)
-    start = offsets[:-1][text] + np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
-    return start, start + k[text], text
+    start = offsets[:-1][text] + WINDOW * (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many))
+    return start, np.minimum(start + WINDOW, offsets[1:][text]), text
+
+
+def highest(z: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of each text's TOP windows (of equal ones the first), and 1 / how many these are for each."""
+    order = np.lexsort((-z, text))
+    first = np.searchsorted(text, text)
+    keep = order[np.arange(len(z)) - first < TOP]
+    many = np.minimum(np.searchsorted(text, text[keep], "right") - first[keep], TOP)
+    return keep, 1 / many
 
 
 @dataclass
@@ -130,18 +140,19 @@ class Model:
         if not len(at):
             return out
         share = np.add.reduceat(self.share[ids], first[:-1])[at]
+        some = np.flatnonzero(np.diff(offsets))
+        offsets = np.append(offsets[some], offsets[-1])
         start, end, text = windows(offsets)
         s, n = np.concatenate([[0], np.cumsum(share)]), np.concatenate([[0], np.cumsum(np.diff(first)[at])])
         z = (s[end] - s[start]) / (n[end] - n[start])
-        some = np.flatnonzero(np.diff(offsets))
-        top = np.maximum.reduceat(z, np.searchsorted(text, some))
+        hit, part = highest(z, text)
+        top = np.bincount(text[hit], z[hit] * part, len(some)) + (s[offsets[1:]] - s[offsets[:-1]]) / (n[offsets[1:]] - n[offsets[:-1]])
         out[some] = 1 / (1 + np.exp(-np.clip(top + self.bias, -50, 50)))
         return out
 
 
 def train(texts: list[str], toxic: list[int], seed: int = 7, steps: int = STEPS) -> Model:
-    """Embeddings and softmax by Adam on the log loss of each text's highest window; the classes weigh alike.
-    The windows are chosen anew at each step."""
+    """Embeddings and softmax by Adam on the log loss; the two classes weigh alike."""
     y = np.array(toxic, np.float64)
     share = np.zeros(BUCKETS)
     if not texts:
@@ -153,12 +164,10 @@ def train(texts: list[str], toxic: list[int], seed: int = 7, steps: int = STEPS)
         return Model(share, -50.0)
     offsets = np.concatenate([[0], np.cumsum(np.diff(offsets)[some])])
     n_words, n_grams, first = len(first) - 1, np.diff(first), first[:-1]
-    length = np.diff(offsets)
     start, end, owner = windows(offsets)
-    w0 = np.searchsorted(owner, np.arange(len(y)))
-    many = np.diff(np.append(w0, len(owner)))
     sums = np.concatenate([[0], np.cumsum(n_grams[flat])])
     size = (sums[end] - sums[start]).astype(np.float64)
+    whole = (sums[offsets[1:]] - sums[offsets[:-1]]).astype(np.float64)
     weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
     rng = np.random.RandomState(seed)
     E, v, b = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.5, DIM), 0.0
@@ -179,14 +188,17 @@ def train(texts: list[str], toxic: list[int], seed: int = 7, steps: int = STEPS)
         a = np.add.reduceat(np.concatenate([E @ v, zero])[bag], first)
         s = np.concatenate([[0], np.cumsum(a[flat])])
         z = (s[end] - s[start]) / size
-        top = np.maximum.reduceat(z, w0)
-        at = _first_equal(z, top, w0, many)
+        hit, part = highest(z, owner)
+        own = owner[hit]
+        top = np.bincount(own, z[hit] * part, len(y)) + (s[offsets[1:]] - s[offsets[:-1]]) / whole
         p = 1 / (1 + np.exp(-np.clip(top + b, -50, 50)))
         g = (p - y) * weight
-        # Each word of a chosen window gets g / size; a difference array spreads it.
+        # Each word of a bag gets its share of g; a difference array spreads it.
         diff = np.zeros(len(flat) + 1)
-        np.add.at(diff, start[at], g / size[at])
-        np.add.at(diff, end[at], -g / size[at])
+        np.add.at(diff, start[hit], g[own] * part / size[hit])
+        np.add.at(diff, end[hit], -g[own] * part / size[hit])
+        np.add.at(diff, offsets[:-1], g / whole)
+        np.add.at(diff, offsets[1:], -g / whole)
         per_word = np.bincount(flat, np.cumsum(diff)[:-1], n_words)
         per_gram = np.bincount(bag, np.repeat(per_word, n_grams), len(used) + 1)[:-1]
         gE, gv, gb = per_gram[:, None] * v + DECAY * E, per_gram @ E + DECAY * v, g.sum()
@@ -204,12 +216,6 @@ def train(texts: list[str], toxic: list[int], seed: int = 7, steps: int = STEPS)
     return Model(share.astype(np.float32), float(b))
 
 
-def _first_equal(z: np.ndarray, top: np.ndarray, w0: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """For each text the first window with its highest value."""
-    hit = np.flatnonzero(z == np.repeat(top, many))
-    return hit[np.searchsorted(hit, w0)]
-
-
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """The model of the labelled documents' bounded sample."""
     marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") == 1).cast("int")).alias("_y"))
