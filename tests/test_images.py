@@ -116,3 +116,14 @@ def test_documents_to_pixels_and_lines(spark):
     assert f.classified().where("page_class = 'ScannedImageOnly'").count() == 4
     assert rasters.bmp(2, 1, 1, b"\x00\xff")[:2] == b"BM" and len(rasters.bmp(2, 1, 1, b"\x00\xff")) == 62
     assert rasters.decode(f.xobjects, most=0).count() == 0 and ocr.BANDS
+
+
+def test_colour_images(spark):
+    palette = scan(bytes([0b01000000]), b"/Width 2 /Height 1 /BitsPerComponent 1 /ColorSpace [/Indexed /DeviceRGB 1 <FF000000FF00>]")
+    ink = scan(bytes([0, 255]), b"/Width 2 /Height 1 /BitsPerComponent 8 /ColorSpace [/Separation /Spot /DeviceCMYK << /FunctionType 2 /Domain [0 1] /C0 [0 0 0 0] /C1 [0 0 0 1] /N 1 >>]")
+    mask = scan(bytes([0b10000000]), b"/Width 2 /Height 1 /ImageMask true")
+    pattern = scan(b"x", b"/Width 1 /Height 1 /BitsPerComponent 8 /ColorSpace /Pattern")
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in (("palette", palette), ("ink", ink), ("mask", mask), ("pattern", pattern), ("none", b"no"))], "doc_id string, content binary")
+    got = {r.doc_id: r for r in rasters.color_images(df).collect()}
+    assert set(got) == {"palette", "ink", "mask", "pattern"} and bytes(got["palette"].samples) == b"\xff\x00\x00\x00\xff\x00"
+    assert bytes(got["ink"].samples)[:3] == b"\xff\xff\xff" and max(got["ink"].samples[3:]) < 60 and bytes(got["mask"].samples) == b"\xff\x00" and got["pattern"].error

@@ -8,7 +8,7 @@ from vellum.kernel.file import File
 from vellum.kernel.filters import SHORT
 from vellum.kernel.objects import Name, PdfError, Stream
 
-ALL = ("document", "page", "run", "image", "field", "xobject")
+ALL = ("document", "page", "run", "image", "field", "xobject", "raster")
 
 
 def content_of(file: File, page) -> bytes:
@@ -62,7 +62,39 @@ def _int(file: File, d: dict, *keys: str) -> int:
     return 0
 
 
-def analyze(data: bytes, password: str | None = None, facets: tuple[str, ...] = ALL) -> dict[str, list[dict]]:
+def raster(file: File, s: Stream, resources: dict) -> tuple[int, int, int, bytes]:
+    """(width, height, components, samples) of an image in its own colour space, as gray or RGB. The space
+    counts only where its components are those that the codec gives."""
+    from vellum.kernel import ccitt, color, jbig2, jpeg
+
+    codec, parms, data = file.image_data(s)
+    w, h, bits = _int(file, s.dict, "Width", "W"), _int(file, s.dict, "Height", "H"), _int(file, s.dict, "BitsPerComponent", "BPC") or 8
+    decode = file.resolve(s.dict.get("Decode"))
+    decode = [float(file.resolve(v)) for v in decode] if isinstance(decode, list) else None
+    mask = file.resolve(s.dict.get("ImageMask")) is True
+    space = None
+    if not mask and (x := s.dict.get("ColorSpace", s.dict.get("CS"))) is not None:
+        space = color.resolve(file, x, resources)
+    if codec == "DCTDecode":
+        w, h, n, data = jpeg.decode(data, keep_cmyk=space is not None)
+        if space is None or space.components != n:
+            return (w, h, n, data) if n < 4 else (w, h, *color.to_rgb(data, w, h, n, 8, color.Space("DeviceCMYK", 4)))
+        return w, h, *color.to_rgb(data, w, h, n, 8, space, decode)
+    if codec == "CCITTFaxDecode":
+        w, h, data = ccitt.decode(data, _int(file, parms, "K"), _int(file, parms, "Columns") or w or 1728, 0, parms.get("BlackIs1") is True, parms.get("EncodedByteAlign") is True)
+        bits = 1
+    elif codec == "JBIG2Decode":
+        g = parms.get("JBIG2Globals")
+        w, h, data = jbig2.decode(data, file.decoded(g) if isinstance(g, Stream) else None)
+        data, bits = bytes(255 - b for b in data), 1
+    elif codec:
+        raise PdfError(f"unsupported image codec {codec}")
+    if mask or space is None:
+        space, bits = color.Space("DeviceGray", 1), 1 if mask else bits
+    return w, h, *color.to_rgb(data, w, h, space.components, bits, space, decode)
+
+
+def analyze(data: bytes, password: str | None = None, facets: tuple[str, ...] = ALL[:-1]) -> dict[str, list[dict]]:
     """Facts by kind. Only PdfError marks a document as rejected, with its message; any other error is a
     malformed object. The caller never sees an exception."""
     out: dict[str, list[dict]] = {k: [] for k in ALL}
@@ -109,11 +141,20 @@ def _facts(data: bytes, password: str | None, facets: tuple[str, ...], out: dict
                         d = x.stream.dict
                         a, b, c, e, f, g = x.matrix
                         out["image"].append({"ord": len(out["image"]), "page": p.index, "name": x.name, "px_w": _int(file, d, "Width", "W"), "px_h": _int(file, d, "Height", "H"), "a": a, "b": b, "c": c, "d": e, "e": f, "f": g, "filters": _filters(file, d), "has_smask": isinstance(file.resolve(d.get("SMask")), Stream), "has_mask": file.resolve(d.get("Mask")) is not None, "is_image_mask": file.resolve(d.get("ImageMask")) is True})
-        if "xobject" in facets:
+        if {"xobject", "raster"} & set(facets):
             objects = file.resolve(p.resources.get("XObject"))
             for name, ref in objects.items() if isinstance(objects, dict) else ():
                 s = file.resolve(ref)
                 if isinstance(s, Stream) and file.resolve(s.dict.get("Subtype")) == "Image":
+                    if "raster" in facets:
+                        row = {"ord": len(out["raster"]), "page": p.index, "name": name, "width": 0, "height": 0, "components": 0, "samples": None, "error": None}
+                        try:
+                            row |= dict(zip(("width", "height", "components", "samples"), raster(file, s, p.resources)))
+                        except (PdfError, ValueError, IndexError, KeyError, TypeError, OverflowError) as e:
+                            row["error"] = str(e) or type(e).__name__
+                        out["raster"].append(row)
+                    if "xobject" not in facets:
+                        continue
                     family, n = color_space(file, s.dict, p.resources)
                     codec, parms, raw = None, {}, b""
                     try:

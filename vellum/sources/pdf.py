@@ -20,6 +20,7 @@ _KINDS: dict[str, list[tuple[str, pa.DataType]]] = {
     "image": [("ord", pa.int64()), ("page", pa.int32()), ("name", pa.string()), ("px_w", pa.int64()), ("px_h", pa.int64()), *((k, pa.float64()) for k in "abcdef"), ("filters", pa.list_(pa.string())), ("has_smask", pa.bool_()), ("has_mask", pa.bool_()), ("is_image_mask", pa.bool_())],
     "field": [("ord", pa.int64()), ("fqn", pa.string()), ("partial", pa.string()), ("label", pa.string()), ("field_type", pa.string()), ("value", pa.string()), ("is_checked", pa.bool_()), ("page", pa.int32()), ("rect", _RECT)],
     "xobject": [("ord", pa.int64()), ("page", pa.int32()), ("name", pa.string()), ("px_w", pa.int64()), ("px_h", pa.int64()), ("bits", pa.int32()), ("filters", pa.list_(pa.string())), ("codec", pa.string()), ("family", pa.string()), ("components", pa.int32()), ("decode", pa.list_(pa.float64())), ("has_smask", pa.bool_()), ("k", pa.int32()), ("columns", pa.int32()), ("black_is_1", pa.bool_()), ("byte_align", pa.bool_()), ("globals", pa.binary()), ("data", pa.binary())],
+    "raster": [("ord", pa.int64()), ("page", pa.int32()), ("name", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("components", pa.int32()), ("samples", pa.binary()), ("error", pa.string())],
 }
 _SCHEMA = pa.schema([("doc_id", pa.string()), ("kind", pa.string()), *((k, pa.struct(v)) for k, v in _KINDS.items())])
 _SQL = {pa.int32(): "int", pa.int64(): "long", pa.float64(): "double", pa.string(): "string", pa.bool_(): "boolean", pa.binary(): "binary", pa.list_(pa.string()): "array<string>", pa.list_(pa.float64()): "array<double>", _RECT: "struct<x:double,y:double,width:double,height:double>"}
