@@ -48,7 +48,7 @@ def all_pairs(texts):
     sets = list(rep.items())
     for x, i in sets:
         for y, j in sets:
-            if i < j and len(x & y) * 10 >= len(x | y) * 7:
+            if i < j and len(x & y) >= jaccard.THRESHOLD * len(x | y):
                 out.add((i, j, round(len(x & y) / len(x | y), 9)))
     return out
 
