@@ -56,4 +56,22 @@ _ALL = (
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
-ORACLE: dict[str, str] = {"op10_license_scan": licenses.sql()}
+_WORDS = r"WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),"
+_PAIRS = f"""{_WORDS}
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) ELSE [array_to_string(ws, ' ')] END) AS g FROM w WHERE len(ws) > 0),
+k AS (SELECT doc_id, g, len(g) AS n, md5(array_to_string(list_sort(g), '|')) AS h FROM s),
+r AS (SELECT h, n, min(doc_id) AS rep FROM k GROUP BY h, n),
+e AS (SELECT r.rep, r.n, unnest(k.g) AS t FROM r JOIN k ON k.doc_id = r.rep),
+c AS (SELECT a.rep AS x, b.rep AS y, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.t = b.t AND a.rep < b.rep GROUP BY ALL)
+SELECT x AS doc_a, y AS doc_b, c::DOUBLE / (na + nb - c) AS jaccard FROM c WHERE c * {jaccard.THRESHOLD.denominator} >= (na + nb - c) * {jaccard.THRESHOLD.numerator}
+UNION ALL SELECT r.rep, k.doc_id, 1.0::DOUBLE FROM k JOIN r ON k.h = r.h AND k.n = r.n WHERE k.doc_id <> r.rep
+"""
+_SPANS = f"""{_WORDS}
+p AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + {substrings.LENGTH - 1}], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {substrings.LENGTH - 2})) AS i FROM w WHERE len(ws) >= {substrings.LENGTH})),
+d AS (SELECT h FROM p GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+q AS (SELECT DISTINCT p.doc_id, p.i FROM p JOIN d ON p.h = d.h),
+g AS (SELECT doc_id, i, sum(CASE WHEN i - prev <= {substrings.LENGTH} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM q))
+SELECT doc_id, min(i) - 1 AS first_word, max(i) + {substrings.LENGTH} - min(i) AS n_words FROM g GROUP BY doc_id, part
+"""
+
+ORACLE: dict[str, str] = {"op1_ngram_jaccard_join": _PAIRS, "op9_substring_dedup": _SPANS, "op10_license_scan": licenses.sql()}
