@@ -36,7 +36,7 @@ def ship(spark: SparkSession) -> SparkSession:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where that is unset (tests, local mode) a folder of our own."""
-    own = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    own = spark.conf.get("spark.checkpoint.dir", None)
     if own:
         return own.rstrip("/")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
