@@ -7,7 +7,7 @@ block is labelled with the whole document in view; blocks labelled as content ma
 
 Training: pages that mark their content by <article> or <main> and their rest by <nav>, <footer>, <aside>,
 <header> or a class such as "ad" or "menu" label their own blocks. At most ``SAMPLE`` pages, those with the
-least hash of page_id, train; on half of the passes these telling elements are hidden from the input, so
+least hash of a page_id that is not null, train; on half of the passes these telling elements are hidden from the input, so
 that the words, shapes and neighbours have to tell. Without any such page, all blocks count as content.
 
 Defined results: a null page has a null text, an empty one an empty text, both 0 blocks; broken, unclosed
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.text_kernel import mix, word_hashes
-from vellum.session import ship
+from vellum.session import least_by_hash, ship
 
 SAMPLE = 300
 HIDDEN = 16
@@ -298,7 +298,7 @@ def train(pages: list[str], epochs: int = EPOCHS, seed: int = 5) -> Network | No
 def fit(pages: DataFrame, sample: int = SAMPLE) -> Network | None:
     """The network of the pages that mark their content, up to the bound."""
     marked = pages.where(F.lower("html").rlike("<(article|main)[ >]"))
-    rows = marked.orderBy(F.xxhash64("page_id"), "page_id", "html").select("html").limit(sample).collect()
+    rows = least_by_hash(marked, "page_id", sample, "html").select("html").collect()
     return train([r[0] for r in rows])
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm import blobs
 from vellum.llm.text_kernel import mix
-from vellum.session import ship, written
+from vellum.session import least_by_hash, ship, written
 
 K = 10
 LEAF = 500
@@ -199,7 +199,7 @@ def calibrate(vectors: DataFrame, tree: Tree, width: int, k: int, recall: float)
     """Leaves to visit for the recall."""
     spark = vectors.sparkSession
     leaves = len(tree.leaves())
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PROBES).collect()
+    rows = least_by_hash(vectors, "vec_id", PROBES, "v").collect()
     if leaves <= 1 or not rows:
         return 1
     qi, q = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float32)
