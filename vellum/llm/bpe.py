@@ -16,7 +16,7 @@ import numpy as np
 #: The pre-token rule of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens that a worker keeps, the first it meets: frequent words come early.
-KEPT = 300_000
+KEPT = 500_000
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
