@@ -83,6 +83,18 @@ def test_jaccard_long_lists_are_skipped_in_blocks():
     assert got == want and len(got) < n * n // 4
 
 
+@pytest.mark.parametrize("probes", [-1, None])
+def test_jaccard_join_of_large_families(spark, probes):
+    """All pairs of a family whose lists have many blocks, and of texts with parts of them, are found."""
+    base = words(102, 1)
+    family = [change(base, 0.03, i) for i in range(300)]
+    parts = [t for i in range(40) for t in (words(100, 1000 + i), " ".join(words(100, 1000 + i).split(" ")[:64]))]
+    texts = family + parts
+    want = all_pairs(dict(enumerate(texts)))
+    assert len([1 for _, b, j in want if b < 300 and 0.6 <= j < 0.8]) > 20_000 and len([1 for a, _, _ in want if a >= 300]) == 40
+    assert found_pairs(frame(spark, texts), probes=probes) == want
+
+
 def test_jaccard_answers_by_difference():
     r = np.random.RandomState(1)
     base = np.sort(r.choice(10**6, 400, replace=False)).astype(np.uint64)
