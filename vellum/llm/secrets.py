@@ -1,13 +1,15 @@
 """Secret scan by token efficiency.
 
 Text that people write compresses well under a byte-pair vocabulary; random strings don't: they take a
-token for every one or two characters. Candidates are whole runs of key characters; those of few characters
-a token are secrets, unless they are known digests or identifiers:
+token for every one or two characters. Candidates are whole runs of key characters, and where a run is no
+secret, its parts of MIN_LENGTH or more: from where an issued key begins, then between separators. Those of
+few characters a token are secrets, unless they are known digests or identifiers:
 
 * digests: runs of exactly 32, 40, 56, 64, 96 or 128 hexadecimal digits, unless a credential's name and
   ``=`` or ``:`` stand before them; and whatever is in ``known_digests``, wherever it stands;
 * identifiers: UUIDs, plain numbers and dates, names put together from words (snake, kebab or camel case),
-  and runs that end in a host or follow ``@`` or ``://`` (mail addresses, links).
+  and runs beside an ``@`` (mail addresses), unless an issued key begins in them or they are a link's user or
+  password, which are measured like any other run.
 
 Defined results: null and empty texts have no rows; a string that occurs again is reported at each place;
 repeated input rows give repeated results; texts of any length are scanned whole; ``start`` counts code
@@ -38,7 +40,11 @@ KNOWN = frozenset(getattr(hashlib, h)(b"").hexdigest() for h in ("md5", "sha1",
 
 _RUN = re.compile(r"(?<![\w+/\-])[A-Za-z0-9+/_\-]{%d,}={0,2}(?!\w)" % MIN_LENGTH, re.A)
 _CREDENTIAL = re.compile(r"(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|authorization|bearer|credentials?|signature)[\"']?\s*(?:[=:]|:=|=>|\s)\s*[\"']?$", re.I)
-_ISSUED = re.compile(r"(?:AKIA|ASIA|AGPA|AIDA|AROA|AIza|gh[pousr]_|github_pat_|sk_live_|sk-|xox[abprs]-|glpat-|npm_|eyJ)")
+#: How issued keys begin, at the begin of a run or behind a separator in it.
+_ISSUED = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AGPA|AIDA|AROA|AIza|gh[pousr]_|github_pat_|sk_live_|sk-|xox[abprs]-|glpat-|npm_|eyJ)")
+#: What stands before and after the user or password of a link.
+_LINK = re.compile(r"://[^\s/?#\"'<>]*(?::[^\s?#\"'<>]*)?$")
+_USER = re.compile(r"@|:[^\s/@]*@")
 _HEX = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
 _DIGESTS = {32, 40, 56, 64, 96, 128}
@@ -59,21 +65,48 @@ def _identifier(run: str) -> bool:
     return bool(words) and sum(map(len, words)) / len(words) >= 2.5
 
 
+def _tokens(run: str, before: str, path: str, ratio: float, letters: float) -> int:
+    """The tokens of a secret, 0 for another run."""
+    if _identifier(run):
+        return 0
+    named = _CREDENTIAL.search(before)
+    if len(run) in _DIGESTS and _HEX.fullmatch(run) and not named:
+        return 0
+    n = len(bpe.encode(run, path))
+    plain = run.isalpha() and not _ISSUED.match(run) and not named
+    return n if len(run) < (letters if plain else ratio) * n else 0
+
+
+def _pieces(run: str) -> list[tuple[int, str]]:
+    """(offset, piece): cut where issued keys begin, else at the first kind of separator there is."""
+    if cuts := [m.start() for m in _ISSUED.finditer(run) if m.start()]:
+        return [(i, run[i : j - 1] if j else run[i:]) for i, j in zip([0, *cuts], [*cuts, None])]
+    out, at = [], 0
+    for x in run.split(next((c for c in "/+-_" if c in run[:-1]), "\0")):
+        out.append((at, x))
+        at += len(x) + 1
+    return out if len(out) > 1 else []
+
+
 def find(text: str, path: str, known: frozenset[str] = KNOWN, ratio: float = MAX_RATIO, letters: float = MAX_RATIO_LETTERS) -> list[tuple[int, str, int]]:
     """(start, secret, tokens) of every secret of a text."""
     out = []
     for m in _RUN.finditer(text):
         run, start = m.group(), m.start()
-        if run in known or run.lower() in known or text[start - 1 : start] == "@" or text[max(0, start - 3) : start] == "://":
-            continue
-        if text[m.end() : m.end() + 1] == "@" or _identifier(run):
-            continue
-        if len(run) in _DIGESTS and _HEX.fullmatch(run) and not _CREDENTIAL.search(text[max(0, start - 40) : start]):
+        user = text[m.end() : m.end() + 1] == "@" and _LINK.search(text[max(0, start - 300) : start])
+        if run.startswith("//") and text[start - 1 : start] == ":" and _USER.match(text, m.end()):
+            run, start, user = run[2:], start + 2, True
+        if not user and "@" in (text[start - 1 : start], text[m.end() : m.end() + 1]) and not _ISSUED.search(run):
             continue
-        n = len(bpe.encode(run, path))
-        plain = run.isalpha() and not _ISSUED.match(run) and not _CREDENTIAL.search(text[max(0, start - 40) : start])
-        if len(run) < (letters if plain else ratio) * n:
-            out.append((start, run, n))
+        todo = [(start, run)]
+        while todo:
+            at, x = todo.pop()
+            if len(x) < MIN_LENGTH or x in known or x.lower() in known:
+                continue
+            if n := _tokens(x, text[max(0, at - 40) : at], path, ratio, letters):
+                out.append((at, x, n))
+            else:
+                todo += [(at + i, y) for i, y in reversed(_pieces(x))]
     return out
 
 
