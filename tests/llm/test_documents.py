@@ -291,6 +291,19 @@ def test_decontamination(spark):
     assert {r.doc_id for r in decontaminate.clean(df, b).collect()} == set(texts) - gone
 
 
+def test_decontamination_weighs_over_all_slices(spark, monkeypatch):
+    """A benchmark in slices gives what one in a piece gives, also where its items share a template."""
+    template = words(20, 1)
+    benchmark = [(i, f"{template} {words(8 + i % 3, 500 + i)}") for i in range(10)] + [(10, "too short"), (11, words(25, 7))]
+    texts = [f"{words(10, i)} {template} {words(9, 700 + i)} {words(5, 80 + i)}" for i in range(6)] + [f"{words(9, 40 + i)} {change(t, 0.02 * (i % 4), i)} and more" for i, t in benchmark]
+    df, b = frame(spark, texts), spark.createDataFrame(benchmark, "item_id long, text string")
+    want, kept = rows(decontaminate.matches(df, b)), rows(decontaminate.clean(df, b))
+    for most in (1, 3, 6):
+        monkeypatch.setattr(decontaminate, "MOST_ITEMS", most)
+        assert rows(decontaminate.matches(df, b)) == want and rows(decontaminate.clean(df, b)) == kept
+    assert len(want) >= 4 and not {r[0] for r in want} & set(range(6))
+
+
 def test_decontamination_finds_all_within_the_radius():
     r = np.random.RandomState(2)
     items = decontaminate.Items([0, 1], [words(20, 1), words(30, 2)])

@@ -13,7 +13,8 @@ alike if the weighted Jaccard similarity of their trigrams is ``SIMILARITY`` at
 3. Candidates within the radius are verified by the exact weighted similarity.
 
 The benchmark's tables go to every executor; ``MOST_ITEMS`` checks its size, and a larger benchmark is
-searched in slices of that many items, one pass over the documents each.
+searched in slices of that many items, one pass over the documents each. Weights are counted over the whole
+benchmark first: their table (16 bytes a trigram of the benchmark) goes to every executor once, for all slices.
 
 Defined results: null and empty texts, and items of fewer than three words, give no rows; repeated items
 are found each under its item_id, repeated documents each on its own; of several windows of a document like
@@ -23,8 +24,8 @@ and kept by ``clean``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Iterable, Iterator
+from itertools import chain, combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -51,22 +52,48 @@ def fingerprint(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64).reshape(-1)
 
 
-class Items:
-    """The benchmark's tables."""
+def _sets(texts: list[str]) -> tuple[list[int], np.ndarray, list[np.ndarray]]:
+    """The items that have a trigram: their indices, numbers of words and distinct trigrams."""
+    h, o = word_hashes(pa.array(texts, pa.large_string()))
+    g, s = ngram_hashes(h, o, SHINGLE)
+    size = np.diff(o)
+    keep = [i for i in range(len(texts)) if size[i] >= SHINGLE]
+    return keep, np.array([size[i] for i in keep], np.int64), [np.unique(g[s[i] : s[i + 1]]) for i in keep]
 
-    def __init__(self, ids: list[int], texts: list[str]):
-        h, o = word_hashes(pa.array(texts, pa.large_string()))
-        g, s = ngram_hashes(h, o, SHINGLE)
-        size = np.diff(o)
-        keep = [i for i in range(len(ids)) if size[i] >= SHINGLE]
-        self.ids = np.array([ids[i] for i in keep], np.int64)
-        self.size = np.array([size[i] for i in keep], np.int64)
-        self.sets = [np.unique(g[s[i] : s[i + 1]]) for i in keep]
-        n = max(1, len(keep))
-        every = np.concatenate(self.sets) if keep else np.zeros(0, np.uint64)
-        self.known, df = np.unique(every, return_counts=True)
+
+class Weights:
+    """The weights of all trigrams, by counts over the whole benchmark, whose slices of texts are given."""
+
+    def __init__(self, slices: Iterable[list[str]]):
+        n, self.known, df = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for texts in slices:
+            _, _, sets = _sets(texts)
+            n += len(sets)
+            own, count = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
+            self.known, at = np.unique(np.concatenate([self.known, own]), return_inverse=True)
+            df = np.bincount(at.reshape(-1), np.concatenate([df, count]), len(self.known))
+        n = max(1, n)
         self.weight = np.log1p(n / df)
         self.other = float(np.log1p(n))
+
+    def weigh(self, hashes: np.ndarray) -> np.ndarray:
+        """Each trigram's weight."""
+        if not len(self.known):
+            return np.full(len(hashes), self.other if len(hashes) else 0.0)
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return np.where(self.known[at] == hashes, self.weight[at], self.other)
+
+
+class Items:
+    """The tables of a benchmark or a slice of it. ``weights`` are the whole benchmark's; they don't go with
+    the tables to a worker, where ``weighed`` puts them back."""
+
+    def __init__(self, ids: list[int], texts: list[str], weights: Weights | None = None):
+        self.weights = weights or Weights([texts])
+        keep, self.size, self.sets = _sets(texts)
+        self.ids = np.array([ids[i] for i in keep], np.int64)
+        self.known = np.unique(np.concatenate([*self.sets, np.zeros(0, np.uint64)]))
+        self.weight = self.weigh(self.known)
         self.total = np.array([self.weigh(x).sum() for x in self.sets])
         self.print = np.array([fingerprint((signs(x) * self.weigh(x)[:, None]).sum(0, keepdims=True))[0] for x in self.sets], np.uint64)
         self.sizes = [(int(k), float(self.total[self.size == k].min())) for k in np.unique(self.size)]
@@ -81,12 +108,15 @@ class Items:
             start = np.searchsorted(near[order], np.arange(65_537))
             self.blocks.append((start, (order // len(masks)).astype(np.int32)))
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"weights": None}
+
+    def weighed(self, weights: Weights) -> Items:
+        self.weights = weights
+        return self
+
     def weigh(self, hashes: np.ndarray) -> np.ndarray:
-        """Each trigram's weight."""
-        if not len(self.known):
-            return np.full(len(hashes), self.other if len(hashes) else 0.0)
-        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        return np.where(self.known[at] == hashes, self.weight[at], self.other)
+        return self.weights.weigh(hashes)
 
     def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All (window, item) whose fingerprints are within the radius."""
@@ -174,19 +204,22 @@ class Items:
         return fingerprint(out)
 
 
-def _slices(benchmark: DataFrame) -> list[Items]:
+def _texts(benchmark: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
     """The benchmark on the driver, in slices of MOST_ITEMS items."""
     rows = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").orderBy("item_id", "text").toLocalIterator()
-    out: list[Items] = []
-    ids: list[int] = []
-    texts: list[str] = []
-    for i, t in rows:
-        ids.append(i)
-        texts.append(t)
-        if len(ids) == MOST_ITEMS:
-            out.append(Items(ids, texts))
-            ids, texts = [], []
-    return [*out, Items(ids, texts)] if ids or not out else out
+    while part := list(islice(rows, MOST_ITEMS)):
+        yield [i for i, _ in part], [t for _, t in part]
+
+
+def _slices(benchmark: DataFrame) -> tuple[Weights, list[Items]]:
+    """The weights of the whole benchmark, and its tables in slices: a second pass over it, if it has several."""
+    slices = _texts(benchmark)
+    first = [*islice(slices, 2)]
+    if len(first) < 2:
+        items = Items(*(first or [([], [])])[0])
+        return items.weights, [items]
+    weights = Weights(t for _, t in chain(first, slices))
+    return weights, [Items(i, t, weights) for i, t in _texts(benchmark)]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -195,13 +228,15 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = ship(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
-    for items in _slices(benchmark):
+    weights, slices = _slices(benchmark)
+    table = spark.sparkContext.broadcast(weights)
+    for items in slices:
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in chunks(batch, "text"):
-                    rows = shared.value.search(part.column(1))
+                    rows = shared.value.weighed(table.value).search(part.column(1))
                     if rows:
                         t, i, p, n, v = zip(*rows)
                         yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(t)), pa.array(i, pa.int64()), pa.array(p, pa.int64()), pa.array(n, pa.int64()), pa.array(v, pa.float64())], ["doc_id", "item_id", "first_word", "n_words", "similarity"])
@@ -217,14 +252,16 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = ship(docs.sparkSession)
     at = docs.columns.index("text")
     out = docs
-    for items in _slices(benchmark):
+    weights, slices = _slices(benchmark)
+    table = spark.sparkContext.broadcast(weights)
+    for items in slices:
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in chunks(batch, at):
                     keep = np.ones(part.num_rows, bool)
-                    keep[[r[0] for r in shared.value.search(part.column(at))]] = False
+                    keep[[r[0] for r in shared.value.weighed(table.value).search(part.column(at))]] = False
                     yield part.filter(pa.array(keep))
 
         out = out.mapInArrow(run, docs.schema)
