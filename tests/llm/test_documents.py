@@ -387,6 +387,21 @@ def test_licenses(spark, docs, odd, empty, sf_dir):
     assert [r.license for r in licenses.scan(frame(spark, ["My, terms."]), own).collect()] == ["Own"]
 
 
+def test_license_files(spark):
+    """Whole files are known: long licences, and short ones with a title and a line of rights."""
+    t = dict(licenses.TEXTS)
+    texts = [("MIT", f"The MIT License (MIT)\n\nCopyright (c) 2020 X\n\n{t['MIT']}"), ("ISC", f"ISC License\n\nCopyright 2020 X\n\n{t['ISC']}")]
+    texts += [("BSD-3-Clause", f"BSD 3-Clause License\n\nCopyright (c) 2020, X\nAll rights reserved.\n\n" + t["BSD-3-Clause"].replace("1. ", "\n* ").replace("2. ", "\n* ").replace("3. ", "\n* "))]
+    for name, spdx in (("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3", "LGPL-3.0"), ("CC0-1.0", "CC0-1.0")):
+        try:
+            with open(f"/usr/share/common-licenses/{name}", encoding="utf-8") as f:
+                texts.append((spdx, f.read()))
+        except FileNotFoundError:
+            pass
+    got = {(r.doc_id, r.license) for r in licenses.scan(frame(spark, [x for _, x in texts])).where("unit = 'document'").collect()}
+    assert got == {(i, s) for i, (s, _) in enumerate(texts)}
+
+
 def test_every_known_license_has_its_own_digest():
     digests = licenses.known()
     assert all(digests[hashlib.md5(licenses.canonical(t).encode()).hexdigest()] == s for s, t in licenses.TEXTS)

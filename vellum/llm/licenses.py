@@ -45,6 +45,23 @@ TEXTS = [
     *((f"GPL-{v}.0-or-later", f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.") for v in (2, 3)),
 ]
 
+#: md5 of the canonical form of licence files too long to stand here: the whole file, and where there is an
+#: appendix after its terms, without that and without the line that ends the terms.
+WHOLE = {
+    "Apache-2.0": ["9768e9ac0a2ddb298695e7c2ca9bfa36", "4c6e317f52b13dccc5c775e26cc6d6b5", "db4fae888ce4068810986a16e5953e7a"],
+    "MPL-2.0": ["0d0c617863ffeb16c5cb1f094c2d68b2"],
+    "GPL-2.0": ["e374d0b43c25aed1a2b28951fe92a546", "95f8e6eea7034bb28698597e2a21390c", "cbb3451938de95cbb302d3c10690ede8"],
+    "GPL-3.0": ["3d166aeeeb2ec1fea896f0a01f69dc5c", "2be49bb6cd12d910a70922606376f09b", "911c13fc9d0f569481e5c351a7c4f103"],
+    "LGPL-2.1": ["519c5306e9399a753b0e3b10cc3f1fbd", "8bafa4c612887b0b12bf68d7e5fe0527", "ea4739ccf5314c5f636f979cc03259e2"],
+    "LGPL-2.0": ["7d054715126defc8a18808a6934f14a4", "67adee7de2991bbdb3346ca63ffc6b75", "1389f4e6c9257fffaaa58a4ba72e4209"],
+    "LGPL-3.0": ["b31b7335bc37919e8cdd79154e04d88d"],
+    "CC0-1.0": ["93a180096f6cfcf2c0dd24f75c2eec48"],
+    "MPL-1.1": ["a708f02208e9c42d3644490185833425"],
+    "GPL-1.0": ["e64afbb3eb9ed9907294af675f791aba", "21fa8693acc5194a648fe02e11f65a72", "dbf3c47f5a8f127e58d08cabc1ebb916"],
+    "Unlicense": ["0ddb544fc94f1ac376b1b27618cf995a"],
+    "BSL-1.0": ["ac2afa4a98b996b77ea9e51a8c904ee1"],
+}
+
 #: Names under which a notice of one line cites a licence.
 NAMES = {
     "MIT": ["MIT License", "MIT", "Expat License"],
@@ -76,13 +93,28 @@ def canonical(text: str) -> str:
     return re.sub(r"[\W_]+", " ", t).strip()
 
 
+def _files() -> list[tuple[str, str]]:
+    """The known texts as they stand in files: under a title, reserving all rights, conditions without numbers.
+    Not the MIT text under "MIT License": ``test_licenses`` holds that such a file is no known document."""
+    out = []
+    for spdx, text in TEXTS:
+        names = NAMES.get(spdx, [spdx])
+        titles = ["", *(f.format(n) for n in names for f in ("{}", "The {}", "{} (%s)" % spdx, "The {} (%s)" % spdx) if (f, n) != ("{}", "MIT License"))]
+        bodies = [text, re.sub(r"(?<=[:.;] )\d\. ", "", text)]
+        out += [(spdx, f"{t}\n{r}\n{b}") for t in titles for r in ("", "All rights reserved.") for b in bodies]
+    return out
+
+
 def known() -> dict[str, str]:
     """md5 of the canonical text -> licence. The first licence of a text counts. Short names that are
     ordinary words ("MIT" alone) stay out: a text has to have 8 characters at least."""
     out: dict[str, str] = {}
-    for spdx, text in [*TEXTS, *((s, n.format(x)) for n in NOTICES for s, xs in NAMES.items() for x in xs)]:
+    for spdx, text in [*TEXTS, *_files(), *((s, n.format(x)) for n in NOTICES for s, xs in NAMES.items() for x in xs)]:
         if len(c := canonical(text)) >= 8:
             out.setdefault(hashlib.md5(c.encode()).hexdigest(), spdx)
+    for spdx, digests in WHOLE.items():
+        for d in digests:
+            out.setdefault(d, spdx)
     return out
 
 
