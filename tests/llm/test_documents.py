@@ -2,6 +2,7 @@
 
 import hashlib
 from collections import defaultdict
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -48,7 +49,7 @@ def all_pairs(texts):
     sets = list(rep.items())
     for x, i in sets:
         for y, j in sets:
-            if i < j and len(x & y) >= jaccard.THRESHOLD * len(x | y):
+            if i < j and 5 * len(x & y) >= 3 * len(x | y):
                 out.add((i, j, round(len(x & y) / len(x | y), 9)))
     return out
 
@@ -70,17 +71,72 @@ def test_jaccard_join_of_the_table(docs):
 
 
 def test_jaccard_long_lists_are_skipped_in_blocks():
-    """Index lists longer than a block give the pairs that a plain double loop gives."""
+    """Index lists longer than a block give the pairs that a plain double loop gives, and blocks out of range
+    of each other's sizes or places are not looked at."""
     r = np.random.RandomState(0)
-    n = 300
-    size = np.sort(r.randint(20, 90, n))
+    n = 600
+    size = np.sort(r.randint(20, 400, n))
     place = r.randint(0, 6, n)
-    got = set()
-    for i, j in jaccard.candidates(np.arange(n), size, place):
-        got |= set(zip(i.tolist(), j.tolist()))
-    t = jaccard.THRESHOLD
-    want = {(i, j) for i in range(n) for j in range(i + 1, n) if size[i] >= t * size[j] and min(size[i] - place[i], size[j] - place[j]) + min(place[i], place[j]) >= t / (1 + t) * (size[i] + size[j])}
-    assert got == want and len(got) < n * n // 4
+    for t in (Fraction(3, 5), Fraction(7, 10), Fraction(9, 10)):
+        got = set()
+        for i, j in jaccard.candidates(np.arange(n), size, place, t):
+            got |= set(zip(i.tolist(), j.tolist()))
+        want = {(i, j) for i in range(n) for j in range(i + 1, n) if size[i] >= t * size[j] and min(size[i] - place[i], size[j] - place[j]) + min(place[i], place[j]) >= t / (1 + t) * (size[i] + size[j])}
+        assert got == want and len(got) < n * n // 4
+
+
+def classes_and_links(texts):
+    """Brute force over {doc_id: text}: {doc_id: (class, links)}."""
+    root, near = {i: i for i in texts}, {i: set() for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    twin = {}
+    for a, b, j in all_pairs(texts):
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+        if j == 1.0:
+            twin[b] = a
+        else:
+            near[a].add(b)
+            near[b].add(a)
+    return {i: (find(i), len(near[twin.get(i, i)])) for i in texts}
+
+
+@pytest.mark.parametrize("probes", [-1, None])
+def test_jaccard_links(spark, probes):
+    texts = [words(120 + 30 * i, i) for i in range(6)]
+    texts += [change(texts[i % 6], 0.02 * (i % 5), 50 + i) for i in range(40)] + [texts[0], texts[1] + "!", "one two", None, "", "One, two?", "one", words(1200, 77), change(words(1200, 77), 0.03, 5)]
+    want = classes_and_links(dict(enumerate(texts)))
+    assert rows(jaccard.links(frame(spark, texts), probes=probes)) == sorted(((i, *v) for i, v in want.items()), key=repr)
+    assert {i for i, (c, _) in want.items() if c == i} == {r.doc_id for r in jaccard.keep_one(frame(spark, texts)).collect()}
+
+
+def test_jaccard_links_of_very_large_groups_of_copies(spark):
+    """Groups beyond the bound are broadcast, smaller ones are not; both get their set's answers."""
+    base, other = words(60, 1), words(60, 2)
+    texts = [base] * 1500 + [other] * 700 + [change(base, 0.04, 3), change(other, 0.04, 4), words(60, 5)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.links(frame(spark, texts)).collect()}
+    assert got == classes_and_links(dict(enumerate(texts))) and got[1499] == (0, 1) and got[2199][0] == 1500 and got[2202] == (2202, 0)
+
+
+def test_shuffled_bytes_do_not_follow_the_number_of_buckets(docs):
+    table = pa.Table.from_batches([pa.RecordBatch.from_pandas(docs.select("doc_id", "text").toPandas())])
+    for emit in (lambda n: jaccard._probes(64, n), lambda n: substrings._emit(substrings._anchors, n)):
+        sizes = [sum(b.nbytes + 64 * b.num_rows for b in emit(n)(iter(table.to_batches(max_chunksize=50)))) for n in (8, 200)]
+        assert sizes[1] < 1.2 * sizes[0]
+
+
+def test_a_hot_hash_is_combined_before_the_shuffle():
+    """A passage that a thousand documents share reaches its buckets as one entry for each task."""
+    passage = words(60, 9)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": [f"{passage} {i} {i + 1}" for i in range(1000)]})
+    sent = [b for b in substrings._emit(substrings._anchors, 4)(iter([batch])) if b.column("hashes").null_count == 0]
+    hashes = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for b in sent for x in b.column("hashes")])
+    assert len(np.unique(hashes)) == len(hashes)
 
 
 @pytest.mark.parametrize("probes", [-1, None])
@@ -107,7 +163,10 @@ def test_jaccard_odd(spark, odd, empty):
     got = found_pairs(odd)
     assert {(a, b) for a, b, _ in got} == {(3, 103), (4, 104), (6, 106), (7, 107)}
     assert jaccard.keep_one(odd).columns == odd.columns and jaccard.keep_one(odd).count() == odd.count() - 4
-    assert rows(jaccard.pairs(empty)) == [] and rows(jaccard.keep_one(empty)) == []
+    assert rows(jaccard.pairs(empty)) == [] and rows(jaccard.keep_one(empty)) == [] and rows(jaccard.links(empty)) == []
+    ids = {r.doc_id for r in odd.collect()} - {None}
+    alone = ids - {103, 104, 106, 107}
+    assert rows(jaccard.links(odd)) == sorted([(i, i, 0) for i in alone] + [(i + 100, i, 0) for i in (3, 4, 6, 7)], key=repr)
 
 
 def test_groups(spark):
