@@ -106,10 +106,47 @@ def test_recall_of_the_table(spark):
     assert recall(spark, data, leaf=40) >= 0.9
 
 
+def test_production_search_of_the_table(spark):
+    """The registered query's parameters build a tree of many leaves, visit a part of it, and find what a plain
+    loop over all vectors finds, for every id that 20 divides and no other."""
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    vectors, width = neighbours._vectors(df)
+    tree = neighbours.build(vectors, width)
+    visits, measured = neighbours.calibrate(vectors, tree, width, 10, neighbours.RECALL)
+    assert len(tree.leaves()) >= 15 and visits < len(tree.leaves()) and measured >= neighbours.RECALL and tree.count.sum() == df.count()
+    x = {r.vec_id: np.array(r.embedding, np.float64) for r in df.collect()}
+    got = {}
+    for r in neighbours.neighbours(df, every=neighbours.EVERY).collect():
+        assert abs(r.distance - np.sqrt(((x[r.vec_id] - x[r.neighbour_id]) ** 2).sum())) < 1e-4
+        got.setdefault(r.vec_id, []).append(r.distance)
+    assert set(got) == {i for i in x if i % 20 == 0}
+    hits = 0
+    for i, ds in got.items():
+        last = sorted(np.sqrt(((x[i] - v) ** 2).sum()) for j, v in x.items() if j != i)[9] + 1e-4
+        assert len(ds) == 10
+        hits += sum(d <= last for d in ds)
+    assert hits >= 0.9 * 10 * len(got)
+
+
+def test_outliers_and_equal_vectors(spark):
+    """An outlier sees k others however few leaves are visited; a leaf of equal vectors is cut into slots."""
+    r = np.random.RandomState(2)
+    data = np.concatenate([r.normal(0, 0.01, (600, 4)), [[50, 50, 50, 50]], np.tile([3.0, 3, 3, 3], (3000, 1))])
+    df = spark.createDataFrame([(i, [float(v) for v in x], 0) for i, x in enumerate(data)], VECTORS)
+    got = {}
+    for row in neighbours.neighbours(df, 10, every=600, recall=0.1).collect():
+        got.setdefault(row.vec_id, []).append(row)
+    assert set(got) == set(range(0, 3601, 600)) and all(len(v) == 10 for v in got.values())
+    assert {row.distance for row in got[1200]} == {0.0} and sorted(row.neighbour_id for row in got[1200]) == list(range(601, 611))
+    tree = neighbours.build(neighbours._vectors(df)[0], 4)
+    assert neighbours.Layout(tree, 8).parts.max() >= 3000 // neighbours.MOST_LEAF
+
+
 def test_search_order_is_best_first():
     t = neighbours.Tree(1)
     t.centroid = np.array([[0], [-5], [5], [-6], [-4], [4], [9]], np.float32)
     t.child = [(1, 3), (3, 5), (5, 7), (0, 0), (0, 0), (0, 0), (0, 0)]
+    t.count = np.array([0, 0, 0, 1, 1, 1, 1])
     assert t.orders(np.array([[-1.0]], np.float32), 4) == [[4, 3, 5, 6]] and t.nearest(np.array([[-5.6], [8]], np.float32)).tolist() == [3, 6]
 
 

@@ -1,27 +1,32 @@
 """Approximate nearest neighbours: a hierarchical k-means tree, searched best bin first.
 
-1. Tree: from the root each node's vectors are split around ``BRANCH`` centroids or fewer, until a leaf is
-   expected to hold ``LEAF`` vectors. All vectors take part in every Lloyd round, as one pass that sums by
-   node; a table of the nodes (one vector for LEAF of the table's, over 1 - 1/BRANCH) goes to every executor,
-   and ``MOST_NODES`` checks its size by letting leaves grow.
+1. Tree: from the root each node's vectors are split around ``BRANCH`` centroids or fewer, until a leaf holds as
+   many as the root of the table's size, ``LEAST_LEAF`` to ``MOST_LEAF``. All vectors take part in every Lloyd
+   round, as one pass that sums by node; a table of the nodes goes to every executor, and ``MOST_NODES`` checks
+   its size by letting leaves grow. Every table of more than 2 * LEAST_LEAF vectors has a tree.
 2. Search: a priority queue holds nodes by the distance of their centroids. The nearest is taken; a node
-   adds its children, a leaf is visited.
+   adds its children, a leaf is visited. Empty leaves don't count, and a search goes on until the leaves that
+   it visited hold more than k vectors.
 3. Calibration: for ``PROBES`` vectors, spread over the table by hash, the true neighbours are found by brute
-   force over all vectors. The number of leaves to visit is doubled, then halved back by bisection, until
-   the recall of what visited leaves hold is ``RECALL`` at least.
-4. Every vector is a query: it is sent to the leaves that its search visits, which hold their own vectors;
-   each leaf answers all its queries by one matrix product, and a query's answers are merged.
-
-Distances are Euclidean, in float32 from exact squares. Defined results: null vectors, vectors with null, NaN
-or infinite entries and vectors of another length than the most frequent (of equally frequent ones the
-longest) are neither query nor neighbour; a query is not its own neighbour, but equal vectors of other ids
-are, at distance 0; ties go to the lesser id; with fewer than k other vectors all of them are neighbours; an id
-in several rows is as many vectors, which are not each other's neighbours. Other columns are ignored.
+   force over all vectors. The leaves to visit are the fewest with which the recall of what they hold is
+   ``RECALL`` at least.
+4. Every vector goes once to the bucket of its leaf. Leaves that are near in the tree share buckets; a leaf that
+   can't be split (of equal vectors) is cut over several by the hash of its ids. A query goes once to each bucket
+   that has leaves of its search; there it is compared with their vectors, block by block, and the k nearest of
+   each bucket are merged.
+
+Queries are the vectors whose vec_id is divisible by ``every``, against all vectors. Distances are Euclidean,
+of float32 vectors. Defined results: null vectors, vectors with null, NaN or infinite entries and vectors of
+another length than the most frequent (of equally frequent ones the longest) are neither query nor neighbour; a
+query is not its own neighbour, but equal vectors of other ids are, at distance 0; ties go to the lesser id; with
+fewer than k other vectors all of them are neighbours; an id in several rows is as many neighbours, which are not
+each other's, and asks once, with its least vector. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,24 +39,32 @@ from vellum.llm.text_kernel import mix
 from vellum.session import least_by_hash, ship, written
 
 K = 10
-LEAF = 500
+EVERY = 20
+LEAST_LEAF, MOST_LEAF = 25, 500
 BRANCH = 16
 ROUNDS = 4
 PROBES = 400
 RECALL = 0.96
 MOST_NODES = 1 << 20
+#: Bytes of vectors that a bucket is expected to hold, and vectors of one block of a product.
+BUCKET, BLOCK = 64 << 20, 4096
 SCHEMA = "vec_id long, neighbour_id long, distance double, rank int"
+_SENT = "bucket int, slots binary, ids binary, vectors binary, visits binary"
+_NAMES = ["slots", "ids", "vectors", "visits"]
 
 
 class Tree:
-    """Nodes in levels; children of node i are first[i] .. first[i + 1] (none: a leaf)."""
+    """Nodes in levels; children of node i are child[i][0] .. child[i][1] (none: a leaf); ``count`` vectors are at
+    each leaf."""
 
     def __init__(self, width: int):
         self.centroid = np.zeros((1, width), np.float32)
         self.child: list[tuple[int, int]] = [(0, 0)]
+        self.count = np.ones(1, np.int64)
 
     def leaves(self) -> np.ndarray:
-        return np.array([i for i, (a, b) in enumerate(self.child) if a == b])
+        """The leaves that are not empty."""
+        return np.array([i for i, (a, b) in enumerate(self.child) if a == b and self.count[i]], np.int64)
 
     def nearest(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each vector: the nearest child, level by level."""
@@ -65,20 +78,24 @@ class Tree:
                 own = np.flatnonzero(at == i)
                 at[own] = a + _squares(x[own], self.centroid[a:b]).argmin(1)
 
-    def orders(self, x: np.ndarray, visits: int) -> list[list[int]]:
-        """The first ``visits`` leaves of each vector's best-bin-first search."""
+    def orders(self, x: np.ndarray, visits: int, least: int = 0) -> list[list[int]]:
+        """The first ``visits`` leaves of each vector's best-bin-first search, and more until they hold ``least``."""
         small = len(self.centroid) <= 4096
         every = _squares(x, self.centroid).tolist() if small else None
+        count = self.count
         out = []
         for q in range(len(x)):
             row = every[q] if small else None
             queue = [(0.0, 0)]
             seen: list[int] = []
-            while queue and len(seen) < visits:
+            held = 0
+            while queue and (len(seen) < visits or held < least):
                 _, i = heapq.heappop(queue)
                 a, b = self.child[i]
                 if a == b:
-                    seen.append(i)
+                    if count[i]:
+                        seen.append(i)
+                        held += count[i]
                     continue
                 near = row[a:b] if row is not None else _squares(x[q : q + 1], self.centroid[a:b])[0].tolist()
                 for j, v in enumerate(near):
@@ -87,6 +104,22 @@ class Tree:
         return out
 
 
+class Layout:
+    """Slots and their buckets: a leaf has a slot for each ``most`` vectors it holds; slots follow each other as
+    leaves do in the tree, and a bucket has as many of them as make up its share of the vectors."""
+
+    def __init__(self, tree: Tree, n: int):
+        most = max(MOST_LEAF, -(-int(tree.count.sum()) // (4 * n)))
+        self.parts = np.maximum(1, -(-tree.count // most))
+        self.first = np.cumsum(self.parts) - self.parts
+        weight = np.repeat(tree.count / self.parts, self.parts)
+        before = np.cumsum(weight) - weight
+        self.bucket = np.minimum((before * n / max(1.0, weight.sum())).astype(np.int64), n - 1)
+
+    def slot(self, leaf: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        return self.first[leaf] + (mix(ids.view(np.uint64)) % self.parts[leaf].astype(np.uint64)).astype(np.int64)
+
+
 def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Squared distances of all pairs, never below 0."""
     return np.maximum((x * x).sum(1)[:, None] - 2 * (x @ y.T) + (y * y).sum(1)[None, :], 0)
@@ -137,14 +170,19 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([s[0] for s in total.values()], pa.int64()), pa.array([s[1].tobytes() for s in total.values()], pa.binary())], ["node", "n", "total"])
 
 
-def build(vectors: DataFrame, width: int, leaf: int = LEAF) -> Tree:
+def build(vectors: DataFrame, width: int, leaf: int | None = None) -> Tree:
     """The tree over all vectors."""
     spark = vectors.sparkSession
     n = vectors.count()
-    leaf = max(leaf, n // MOST_NODES)
+    leaf = max(leaf or min(max(math.isqrt(n), LEAST_LEAF), MOST_LEAF), n // MOST_NODES)
     tree, parts = Tree(width), blobs.partitions(vectors)
     held = {0: n}
     rng = np.random.RandomState(1)
+
+    def counts(tree: Tree) -> list:
+        shared = spark.sparkContext.broadcast(tree)
+        return vectors.select("v").mapInArrow(_sums(shared, parts, width), "bucket int, node long, n long, total binary").repartitionById(parts, F.col("bucket")).mapInArrow(_merge, "node long, n long, total binary").collect()
+
     while split := [i for i, (a, b) in enumerate(tree.child) if a == b and held.get(i, 0) > 2 * leaf]:
         # Centroids begin at the node's own, moved a little apart along random directions of the data's size.
         spread = np.sqrt(max(1e-12, float(vectors.select(F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double")).alias("s")).agg(F.avg("s")).collect()[0][0] or 0) / width))
@@ -155,8 +193,7 @@ def build(vectors: DataFrame, width: int, leaf: int = LEAF) -> Tree:
             tree.child += [(0, 0)] * k
             tree.centroid = np.concatenate([tree.centroid, tree.centroid[i] + rng.normal(0, spread, (k, width)).astype(np.float32)])
         for _ in range(ROUNDS):
-            shared = spark.sparkContext.broadcast(tree)
-            rows = vectors.select("v").mapInArrow(_sums(shared, parts, width), "bucket int, node long, n long, total binary").repartitionById(parts, F.col("bucket")).mapInArrow(_merge, "node long, n long, total binary").collect()
+            rows = counts(tree)
             held = {r[0]: r[1] for r in rows}
             for i, m, s in rows:
                 if i > 0:
@@ -166,154 +203,195 @@ def build(vectors: DataFrame, width: int, leaf: int = LEAF) -> Tree:
             a, b = tree.child[i]
             if max(held.get(j, 0) for j in range(a, b)) >= sum(held.get(j, 0) for j in range(a, b)):
                 held = {j: (0 if a <= j < b else m) for j, m in held.items()}
+    tree.count = np.zeros(len(tree.child), np.int64)
+    for i, m, _ in counts(tree):
+        tree.count[i] = m
     return tree
 
 
-def _best(ids: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k least by (distance, id)."""
-    return np.lexsort((ids, d))[:k]
-
+def _brute(queries, tree, width: int, k: int):
+    """(q, d, vec_id, leaf): the k nearest of this task's vectors for each query."""
 
-def _brute(queries, width: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qi, q = queries.value
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * len(qi)
+        d, i, v = np.full((len(qi), k), np.inf, np.float32), np.zeros((len(qi), k), np.int64), np.zeros((len(qi), k, width), np.float32)
         for b in batches:
             ids, x = b.column(0).to_numpy(), _matrix(b.column(1), width)
-            for begin in range(0, len(ids), 8192):
-                i, d = ids[begin : begin + 8192], _squares(q, x[begin : begin + 8192])
-                cut = np.argpartition(d, min(k, d.shape[1] - 1), 1)[:, : k + 1]
-                for j in range(len(qi)):
-                    c = cut[j][i[cut[j]] != qi[j]]
-                    ni, nd = np.append(best[j][0], i[c]), np.append(best[j][1], d[j, c])
-                    o = _best(ni, nd, k)
-                    best[j] = ni[o], nd[o]
-        rows = [(int(qi[j]), int(a), float(v)) for j in range(len(qi)) for a, v in zip(*best[j])]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()))], ["q", "vec_id", "d"])
+            for begin in range(0, len(ids), BLOCK):
+                own, y = ids[begin : begin + BLOCK], x[begin : begin + BLOCK]
+                e = _squares(q, y)
+                e[qi[:, None] == own[None, :]] = np.inf
+                cut = np.argpartition(e, min(k, len(own)) - 1, 1)[:, :k]
+                e = np.concatenate([d, np.take_along_axis(e, cut, 1)], 1)
+                both, vectors = np.concatenate([i, own[cut]], 1), np.concatenate([v, y[cut]], 1)
+                best = np.lexsort((both, e), axis=-1)[:, :k]
+                d, i = np.take_along_axis(e, best, 1), np.take_along_axis(both, best, 1)
+                v = np.take_along_axis(vectors, best[:, :, None], 1)
+        ok = np.isfinite(d)
+        if ok.any():
+            leaf = tree.value.nearest(v[ok])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(qi, k).reshape(-1, k)[ok], d[ok].astype(np.float64), i[ok], leaf)], ["q", "d", "vec_id", "leaf"])
 
     return run
 
 
-def calibrate(vectors: DataFrame, tree: Tree, width: int, k: int, recall: float) -> int:
-    """Leaves to visit for the recall."""
+def calibrate(vectors: DataFrame, tree: Tree, width: int, k: int, recall: float) -> tuple[int, float]:
+    """(leaves to visit for the recall, the recall measured with them)."""
     spark = vectors.sparkSession
     leaves = len(tree.leaves())
-    rows = least_by_hash(vectors, "vec_id", PROBES, "v").collect()
+    rows = least_by_hash(vectors, "vec_id", PROBES, "v").dropDuplicates(["vec_id"]).collect()
     if leaves <= 1 or not rows:
-        return 1
+        return 1, 1.0
     qi, q = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float32)
-    shared = spark.sparkContext.broadcast((qi, q))
-    near = vectors.mapInArrow(_brute(shared, width, k), "q long, vec_id long, d double").groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "vec_id"))), 1, k).alias("best")).select("q", F.explode("best.vec_id").alias("vec_id"))
-    truth = near.join(vectors, "vec_id").select("q", "v").collect()
-    leaf = tree.nearest(np.array([r[1] for r in truth], np.float32))
-    want: dict[int, list[int]] = {}
-    for r, i in zip(truth, leaf.tolist()):
-        want.setdefault(r[0], []).append(i)
-    order = {int(i): {x: j for j, x in enumerate(o)} for i, o in zip(qi, tree.orders(q, leaves))}
-    place = np.array([order[i][x] for i, xs in want.items() for x in xs])
-
-    def found(visits: int) -> float:
-        return float((place < visits).mean())
-
-    visits = 1
-    while visits < leaves and found(visits) < recall:
-        visits *= 2
-    low = visits // 2
-    while visits - low > 1:
-        middle = (low + visits) // 2
-        low, visits = (low, middle) if found(middle) >= recall else (middle, visits)
-    return min(visits, leaves)
-
-
-def _send(tree, visits: int, n: int, width: int):
-    """Each vector to its own leaf and, as a query, to the leaves of its search: a row a leaf."""
+    shared, nodes = spark.sparkContext.broadcast((qi, q)), spark.sparkContext.broadcast(tree)
+    near = vectors.mapInArrow(_brute(shared, nodes, width, k), "q long, d double, vec_id long, leaf long").groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "vec_id", "leaf"))), 1, k).alias("best"))
+    want = {r[0]: r[1] for r in near.select("q", "best.leaf").collect()}  # k leaves for each probe
+    visits = 8
+    while True:
+        order = {i: {x: j for j, x in enumerate(o)} for i, o in zip(qi.tolist(), tree.orders(q, visits))}
+        place = np.sort([order[i].get(x, leaves) for i, xs in want.items() for x in xs])
+        if not len(place):
+            return 1, 1.0
+        last = int(place[math.ceil(recall * len(place)) - 1])
+        if last < min(visits, leaves):
+            return last + 1, float((place <= last).mean())
+        visits *= 4
+
+
+def _members(tree, layout):
+    """Each vector to the bucket of its slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tree.value
+        t, where = tree.value, layout.value
+        width = t.centroid.shape[1]
+        box = blobs.Outbox(int(where.bucket[-1]) + 1)
+        send = lambda slot, ids, x: blobs.scatter(where.bucket[slot], [slot.astype(np.int32), ids, x, None], _NAMES)
+        for b in batches:
+            ids, x = b.column(0).to_numpy().astype(np.int64), _matrix(b.column(1), width)
+            if box.add(where.slot(t.nearest(x), ids), ids, x.view(np.dtype((np.void, 4 * width))).reshape(-1)):
+                yield send(*box.take())
+        if (last := box.take()) is not None:
+            yield send(*last)
+
+    return run
+
+
+def _queries(tree, layout, visits: int, k: int):
+    """Each query to every bucket that has slots of the leaves of its search, with these slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, where = tree.value, layout.value
+        width = t.centroid.shape[1]
         for b in batches:
-            for begin in range(0, b.num_rows, 4096):
-                part = b.slice(begin, 4096)
-                ids, x = part.column(0).to_numpy().astype(np.int64), _matrix(part.column(1), width)
-                own = t.nearest(x)
-                orders = t.orders(x, visits)
-                leaf = np.concatenate([own, np.array([i for o in orders for i in o], np.int64)])
-                vector = np.concatenate([np.arange(len(ids)), np.repeat(np.arange(len(ids)), [len(o) for o in orders])])
-                query = np.concatenate([np.zeros(len(ids), bool), np.ones(len(leaf) - len(ids), bool)])
-                rows = [(i % n, i, bool(k), ids[v].tobytes(), x[v].tobytes()) for kind in (False, True) for i, v, k in ((i, v, kind) for i, v in blobs.by_text(leaf[query == kind], vector[query == kind]))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()))], ["bucket", "leaf", "query", "ids", "vectors"])
+            ids, x = b.column(0).to_numpy().astype(np.int64), _matrix(b.column(1), width)
+            orders = t.orders(x, visits, k + 1)
+            leaf = np.array([i for o in orders for i in o], np.int64)
+            query = np.repeat(np.arange(len(ids)), [len(o) for o in orders])
+            many = where.parts[leaf]
+            slot = np.repeat(where.first[leaf] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            query = np.repeat(query, many)
+            bucket = where.bucket[slot]
+            order = np.lexsort((slot, query, bucket))
+            slot, query, bucket = slot[order], query[order], bucket[order]
+            edge, size = blobs.runs(bucket * len(ids) + query)
+            q, n = query[edge], bucket[edge]
+            rows, _ = blobs.runs(n)
+            ends, flat = np.append(rows, len(n)), np.append(edge[rows], len(slot))
+            columns = [blobs.packed(slot.astype(np.int32), flat), *(blobs.packed(a, ends) for a in (ids[q], x[q].view(np.dtype((np.void, 4 * width))).reshape(-1), size.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays([pa.array(n[rows].astype(np.int32)), *columns], ["bucket", *_NAMES])
 
     return run
 
 
+def _nearest(q: np.ndarray, qi: np.ndarray, m: np.ndarray, mi: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, vector) of the k nearest vectors, which are in order of their ids, for each query."""
+    d = _squares(q, m)
+    d[qi[:, None] == mi[None, :]] = np.inf
+    if k < len(mi):
+        keep = d <= np.partition(d, k - 1, 1)[:, k - 1 : k]
+        for j in np.flatnonzero(keep.sum(1) > k).tolist():  # ties at the k-th distance: the least ids
+            far = d[j][keep[j]].max()
+            less, same = np.flatnonzero(d[j] < far), np.flatnonzero(d[j] == far)
+            keep[j] = False
+            keep[j, less] = keep[j, same[: k - len(less)]] = True
+        return np.nonzero(keep & np.isfinite(d))
+    return np.nonzero(np.isfinite(d))
+
+
+def _first(q: np.ndarray, i: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Of each query the k least by (distance, id), with their rank from 0."""
+    order = np.lexsort((i, d, q))
+    q, i, d = q[order], i[order], d[order]
+    edge, size = blobs.runs(q)
+    rank = np.arange(len(q)) - np.repeat(edge, size)
+    keep = rank < k
+    return q[keep], i[keep], d[keep], rank[keep]
+
+
 def _answer(n: int, width: int, k: int):
-    """Each leaf's answers to its queries, sent on by query."""
+    """A bucket's answers to its queries, sent on by query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
+        members, asking = [], []
         for b in batches:
-            for leaf, query, i, v in zip(b.column("leaf").to_pylist(), b.column("query").to_pylist(), blobs.arrays(b.column("ids"), np.int64), blobs.arrays(b.column("vectors"), np.float32)):
-                held.setdefault(leaf, ([], []))[query].append((i, v.reshape(-1, width)))
-        for members, queries in held.values():
-            if not members:
-                continue
-            mi, m = np.concatenate([x[0] for x in members]), np.concatenate([x[1] for x in members])
-            for qi, q in queries:
-                d = _squares(q, m)
-                d[qi[:, None] == mi[None, :]] = np.inf
-                keep = min(k, len(mi))
-                cut = np.argpartition(d, keep - 1, 1)[:, :keep] if keep < len(mi) else np.broadcast_to(np.arange(len(mi)), d.shape)
-                value = np.take_along_axis(d, cut, 1)
-                last = value.max(1)
-                ok = np.isfinite(value)
-                # Ties at the k-th distance: all of them go on, so that the least ids can be taken.
-                tied = np.flatnonzero((d == last[:, None]).sum(1) + (d < last[:, None]).sum(1) > keep)
-                a, c, v = np.repeat(qi, ok.sum(1)), mi[cut][ok], value[ok]
-                for j in tied.tolist():
-                    more = np.flatnonzero((d[j] == last[j]) & np.isfinite(d[j]))
-                    more = more[~np.isin(more, cut[j])]
-                    more = more[np.argsort(mi[more])][:k]
-                    a, c, v = np.append(a, np.full(len(more), qi[j])), np.append(c, mi[more]), np.append(v, d[j, more])
-                if len(a):
-                    yield blobs.scatter(mix(a.astype(np.int64).view(np.uint64)), n, [a, c, v.astype(np.float32)], [], ["queries", "ids", "squares"])
+            for j in range(b.num_rows):
+                own = b.slice(j, 1)
+                (members if own.column("visits").null_count else asking).append(own)
+        void = np.dtype((np.void, 4 * width))
+        slot, ids, x = (blobs.joined(members, c, t) for c, t in (("slots", np.int32), ("ids", np.int64), ("vectors", void)))
+        del members
+        order = np.lexsort((ids, slot))
+        slot, ids, x = slot[order], ids[order], x[order].view(np.float32).reshape(-1, width)
+        qi, q, visits, want = (blobs.joined(asking, c, t) for c, t in (("ids", np.int64), ("vectors", void), ("visits", np.int32), ("slots", np.int32)))
+        q = q.view(np.float32).reshape(-1, width)
+        who = np.repeat(np.arange(len(qi)), visits)
+        order = np.argsort(want, kind="stable")
+        want, who = want[order], who[order]
+        found: list[tuple] = []
+        held = 0
+        for f, m in zip(*(v.tolist() for v in blobs.runs(want))):
+            a, b = np.searchsorted(slot, want[f], "left"), np.searchsorted(slot, want[f], "right")
+            for begin in range(a, b, BLOCK):
+                y, yi = x[begin : min(b, begin + BLOCK)], ids[begin : min(b, begin + BLOCK)]
+                for start in range(f, f + m, 1024):
+                    w = who[start : min(f + m, start + 1024)]
+                    i, j = _nearest(q[w], qi[w], y, yi, k)
+                    found.append((w[i], yi[j], ((q[w[i]].astype(np.float64) - y[j]) ** 2).sum(1)))
+                    held += len(i)
+                    if held > 2_000_000:
+                        found = [_first(*(np.concatenate(c) for c in zip(*found)), k)[:3]]
+                        held = len(found[0][0])
+        if held:
+            w, i, d, _ = _first(*(np.concatenate(c) for c in zip(*found)), k)
+            to = blobs.buckets_of(mix(qi[w].view(np.uint64)), n)
+            yield blobs.scatter(to, [qi[w], i, d], ["queries", "ids", "squares"])
 
     return run
 
 
 def _top(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, i, v = [], [], []
-        for b in batches:
-            q += blobs.arrays(b.column("queries"), np.int64)
-            i += blobs.arrays(b.column("ids"), np.int64)
-            v += blobs.arrays(b.column("squares"), np.float32)
-        if not q:
-            return
-        q, i, v = np.concatenate(q), np.concatenate(i), np.concatenate(v)
-        order = np.lexsort((i, v, q))
-        q, i, v = q[order], i[order], v[order]
-        new = np.ones(len(q), bool)
-        new[1:] = (q[1:] != q[:-1]) | (i[1:] != i[:-1]) | (v[1:] != v[:-1])
-        q, i, v = q[new], i[new], v[new]
-        edge = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
-        rank = np.arange(len(q)) - np.repeat(edge, np.diff(np.append(edge, len(q))))
-        keep = rank < k
-        yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(i[keep]), pa.array(np.sqrt(v[keep].astype(np.float64))), pa.array((rank[keep] + 1).astype(np.int32))], ["vec_id", "neighbour_id", "distance", "rank"])
+        parts = list(batches)
+        q, i, d, rank = _first(*(blobs.joined(parts, c, t) for c, t in (("queries", np.int64), ("ids", np.int64), ("squares", np.float64))), k)
+        if len(q):
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(np.sqrt(d)), pa.array((rank + 1).astype(np.int32))], ["vec_id", "neighbour_id", "distance", "rank"])
 
     return run
 
 
-def neighbours(embeddings: DataFrame, k: int = K, recall: float = RECALL, leaf: int = LEAF) -> DataFrame:
-    """(vec_id, neighbour_id, distance, rank): k neighbours of every vector."""
+def neighbours(embeddings: DataFrame, k: int = K, every: int = 1, recall: float = RECALL, leaf: int | None = None) -> DataFrame:
+    """(vec_id, neighbour_id, distance, rank): k neighbours of every vector whose vec_id ``every`` divides."""
     spark = ship(embeddings.sparkSession)
     vectors, width = _vectors(embeddings)
     if not width:
         return spark.createDataFrame([], SCHEMA)
     vectors = written(vectors, "vectors")
-    n = blobs.partitions(vectors)
+    least = blobs.partitions(vectors)
     tree = build(vectors, width, leaf)
-    visits = calibrate(vectors, tree, width, k, recall)
-    shared = spark.sparkContext.broadcast(tree)
-    sent = vectors.mapInArrow(_send(shared, visits, n, width), "bucket int, leaf long, query boolean, ids binary, vectors binary").repartitionById(n, F.col("bucket"))
-    answers = sent.mapInArrow(_answer(n, width, k), "bucket int, queries binary, ids binary, squares binary").repartitionById(n, F.col("bucket"))
+    visits, _ = calibrate(vectors, tree, width, k, recall)
+    n = max(least, int(tree.count.sum()) * width * 4 // BUCKET)
+    shared, layout = spark.sparkContext.broadcast(tree), spark.sparkContext.broadcast(Layout(tree, n))
+    asking = vectors.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    sent = vectors.mapInArrow(_members(shared, layout), _SENT).unionByName(asking.mapInArrow(_queries(shared, layout, visits, k), _SENT)).repartitionById(n, F.col("bucket"))
+    answers = sent.mapInArrow(_answer(least, width, k), "bucket int, queries binary, ids binary, squares binary").repartitionById(least, F.col("bucket"))
     return answers.mapInArrow(_top(k), SCHEMA)

@@ -35,7 +35,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.neighbours(table(spark, sf_dir, "embeddings"))
+    return neighbours.neighbours(table(spark, sf_dir, "embeddings"), every=neighbours.EVERY)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
