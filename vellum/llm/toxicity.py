@@ -11,11 +11,13 @@ The two-class softmax depends on the difference of its two rows only, and the mo
 n-grams. So a word's share is a number, worked out once for each distinct word of a batch.
 
 Bound of the sample: at most ``SAMPLE`` labelled documents of each class train, those with the least hash
-of doc_id. All documents are scored, whole.
+of doc_id. An n-gram takes part if it is in a 150th as many labelled texts as the smaller class has, in 2 at
+least and 10 at most. All documents are scored, whole; those of a score above ``THRESHOLD`` are toxic.
 
 Defined results: null and empty texts, and texts without words, are not toxic (score 0.0 and no row among
-the rejected); documents with several, contradictory label rows count as toxic if any is 1, null labels
-count as no label; repeated documents score alike; without labels of both classes every score is 0.0.
+the rejected), nor are texts without an n-gram that the model knows; documents with several, contradictory label rows count as toxic if any is 1, null labels
+count as no label; repeated documents score alike; without labels of both classes, or without an
+n-gram in enough labelled texts, every score is 0.0.
 Other columns are ignored by ``score`` and kept by ``keep_clean``.
 """
 
@@ -39,9 +41,11 @@ TOP = 2
 BUCKETS = 1 << 17
 DIM = 8
 STEPS = 60
-LEAST = 10
+#: An n-gram counts if it is in so many labelled texts at least: one for SPREAD of the smaller class, from 2 to 10.
+SPREAD, LEAST, MOST = 150, 2, 10
 DECAY = 1e-5
 THRESHOLD = 0.5
+MARGIN = 3.0
 _C = 0x9DDFEA08EB382D69
 
 
@@ -135,7 +139,11 @@ class Model:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         """P(toxic) of each text."""
-        out = np.zeros(len(texts))
+        return 1 / (1 + np.exp(-np.clip(self.logits(texts), -800, 50)))
+
+    def logits(self, texts: pa.Array) -> np.ndarray:
+        """The log odds; -inf, a score of 0.0, without a known n-gram."""
+        out = np.full(len(texts), -np.inf)
         ids, first, at, offsets = distinct(texts)
         if not len(at):
             return out
@@ -147,11 +155,33 @@ class Model:
         z = (s[end] - s[start]) / (n[end] - n[start])
         hit, part = highest(z, text)
         top = np.bincount(text[hit], z[hit] * part, len(some)) + (s[offsets[1:]] - s[offsets[:-1]]) / (n[offsets[1:]] - n[offsets[:-1]])
-        out[some] = 1 / (1 + np.exp(-np.clip(top + self.bias, -50, 50)))
+        known = np.add.reduceat((self.share != 0)[ids], first[:-1])[at]
+        seen = np.concatenate([[0], np.cumsum(known)])
+        out[some] = np.where(seen[offsets[1:]] > seen[offsets[:-1]], top + self.bias, -np.inf)
         return out
 
 
-def train(texts: list[str], toxic: list[int], seed: int = 7, steps: int = STEPS) -> Model:
+def least_texts(y: np.ndarray) -> int:
+    """In how many labelled texts an n-gram has to be, by the size of the smaller class."""
+    return int(np.clip(min((y == 1).sum(), (y == 0).sum()) // SPREAD, LEAST, MOST))
+
+
+def train(texts: list[str], toxic: list[int], steps: int = STEPS) -> Model:
+    """The model of all texts, with its bias lowered so far that clean texts, as models of the other half of the
+    texts see them, lie below the threshold by MARGIN standard deviations."""
+    model = learn(texts, toxic, steps)
+    clean = []
+    for half in (0, 1):
+        other = learn(texts[half::2], toxic[half::2], steps)
+        own = [t for t, y in zip(texts[1 - half :: 2], toxic[1 - half :: 2]) if not y]
+        z = other.logits(pa.array(own, pa.large_string()))
+        clean.append(z[np.isfinite(z)])
+    z = np.concatenate(clean)
+    lower = max(0.0, float(z.mean() + MARGIN * z.std())) if len(z) else 0.0
+    return Model(model.share, model.bias - lower)
+
+
+def learn(texts: list[str], toxic: list[int], steps: int = STEPS, seed: int = 7) -> Model:
     """Embeddings and softmax by Adam on the log loss; the two classes weigh alike."""
     y = np.array(toxic, np.float64)
     share = np.zeros(BUCKETS)
@@ -172,14 +202,16 @@ def train(texts: list[str], toxic: list[int], seed: int = 7, steps: int = STEPS)
     rng = np.random.RandomState(seed)
     E, v, b = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.5, DIM), 0.0
     mE, vE, mv, vv, mb, vb = np.zeros_like(E), np.zeros_like(E), np.zeros(DIM), np.zeros(DIM), 0.0, 0.0
-    # Buckets of fewer than LEAST texts stay at zero: what only one text has says nothing of others.
+    # Buckets of few texts stay at zero: what only one text has says nothing of others.
     spread = np.zeros(BUCKETS, np.int64)
     for i in range(len(y)):
         w = np.unique(flat[offsets[i] : offsets[i + 1]])
         n = n_grams[w]
         at = np.repeat(first[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         spread[np.unique(bag[at])] += 1
-    used = np.flatnonzero(spread >= LEAST)
+    used = np.flatnonzero(spread >= least_texts(y))
+    if not len(used):
+        return Model(share, -50.0)
     back = np.full(BUCKETS, len(used), np.int32)
     back[used] = np.arange(len(used))
     E, mE, vE, bag = E[used], mE[used], vE[used], back[bag]
@@ -239,7 +271,7 @@ def _scored(docs: DataFrame, model: Model, only: str) -> DataFrame:
         for batch in batches:
             for part in chunks(batch, at):
                 scores = model.scores(part.column(at))
-                keep = pa.array((scores >= THRESHOLD) == (only == "toxic"))
+                keep = pa.array((scores > THRESHOLD) == (only == "toxic"))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], [*part.schema.names, name]).filter(keep)
 
     ship(docs.sparkSession)
