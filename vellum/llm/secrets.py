@@ -9,7 +9,12 @@ few characters a token are secrets, unless they are known digests or identifiers
   ``=`` or ``:`` stand before them; and whatever is in ``known_digests``, wherever it stands;
 * identifiers: UUIDs, plain numbers and dates, names put together from words (snake, kebab or camel case),
   and runs beside an ``@`` (mail addresses), unless an issued key begins in them or they are a link's user or
-  password, which are measured like any other run.
+  password, which are measured like any other run;
+* embedded data: runs in a data URI, runs of more than MAX_LENGTH, and lines of base64 (whole lines of 60 or more,
+  beside another as long), such as certificates and attachments, unless they stand in a PEM block of a private key.
+
+A run has MIN_LENGTH characters at least; one of letters and digits that stands right behind a credential's name
+and ``=`` or ``:`` has MIN_NAMED. Shorter ones are not looked at.
 
 Defined results: null and empty texts have no rows; a string that occurs again is reported at each place;
 repeated input rows give repeated results; texts of any length are scanned whole; ``start`` counts code
@@ -20,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,6 +36,8 @@ from vellum.llm import bpe
 from vellum.session import ship
 
 MIN_LENGTH = 16
+MIN_NAMED = 12
+MAX_LENGTH = 1024
 #: Characters a token; below, a run is random. Runs of letters alone have to lie below the second bound,
 #: but for those that begin as issued keys do or stand behind a credential's name.
 MAX_RATIO = 2.4
@@ -38,13 +46,19 @@ SCHEMA = "doc_id long, start long, length long, secret string, n_tokens long, ch
 #: Digests that stand in many texts: of the empty input.
 KNOWN = frozenset(getattr(hashlib, h)(b"").hexdigest() for h in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"))
 
-_RUN = re.compile(r"(?<![\w+/\-])[A-Za-z0-9+/_\-]{%d,}={0,2}(?!\w)" % MIN_LENGTH, re.A)
+_RUN = re.compile(r"(?<![\w+/\-])[A-Za-z0-9+/_\-]{%d,}={0,2}(?!\w)" % MIN_NAMED, re.A)
 _CREDENTIAL = re.compile(r"(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|authorization|bearer|credentials?|signature)[\"']?\s*(?:[=:]|:=|=>|\s)\s*[\"']?$", re.I)
 #: How issued keys begin, at the begin of a run or behind a separator in it.
 _ISSUED = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AGPA|AIDA|AROA|AIza|gh[pousr]_|github_pat_|sk_live_|sk-|xox[abprs]-|glpat-|npm_|eyJ)")
 #: What stands before and after the user or password of a link.
 _LINK = re.compile(r"://[^\s/?#\"'<>]*(?::[^\s?#\"'<>]*)?$")
 _USER = re.compile(r"@|:[^\s/@]*@")
+#: A credential's name with its sign, as it stands before a short key.
+_NAMED = re.compile(r"(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credentials?)[\"']?\s*[=:]\s*[\"']?$", re.I)
+_SHORT = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9]+")
+_DATA = re.compile(r"data:[\w.+/-]*(?:;[\w.=+-]+)*;base64,$", re.I)
+_PEM = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*)-----")
+_LINE = re.compile(r"[A-Za-z0-9+/]+={0,2}\r?(?=\n|\Z)")
 _HEX = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
 _DIGESTS = {32, 40, 56, 64, 96, 128}
@@ -88,11 +102,45 @@ def _pieces(run: str) -> list[tuple[int, str]]:
     return out if len(out) > 1 else []
 
 
+def _embedded(text: str, start: int, end: int, private: list[tuple[int, int]]) -> bool:
+    """Whether the run is data that the text carries rather than a key."""
+    if _DATA.search(text[max(0, start - 100) : start]):
+        return True
+    # In a PEM block: a private key's lines are secrets.
+    at = bisect_right(private, (start, len(text))) - 1
+    if at >= 0 and start < private[at][1]:
+        return False
+    if end - start > MAX_LENGTH:
+        return True
+    if end - start < 60 or (start and text[start - 1] != "\n") or text[end : end + 2].lstrip("\r")[:1] not in ("\n", ""):
+        return False
+    above = text[text.rfind("\n", max(0, start - 1 - MAX_LENGTH), start - 1) + 1 : start - 1].rstrip("\r") if start else ""
+    below = m.group().rstrip("\r") if (m := _LINE.match(text, text.find("\n", end) + 1 or len(text))) else ""
+    return len(below) == end - start or (len(above) >= end - start and _LINE.fullmatch(above) is not None)
+
+
+def _private(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the PEM blocks of private keys."""
+    out, begin = [], None
+    for m in _PEM.finditer(text) if "-----" in text else ():
+        if begin is not None:
+            out.append((begin, m.start()))
+        begin = m.end() if m.group(1) == "BEGIN" and "PRIVATE KEY" in m.group(2) else None
+    return out if begin is None else [*out, (begin, len(text))]
+
+
 def find(text: str, path: str, known: frozenset[str] = KNOWN, ratio: float = MAX_RATIO, letters: float = MAX_RATIO_LETTERS) -> list[tuple[int, str, int]]:
     """(start, secret, tokens) of every secret of a text."""
     out = []
+    private = _private(text)
     for m in _RUN.finditer(text):
         run, start = m.group(), m.start()
+        if len(run) < MIN_LENGTH:
+            if _SHORT.fullmatch(run) and run not in known and _NAMED.search(text[max(0, start - 40) : start]) and (n := _tokens(run, "", path, ratio, letters)):
+                out.append((start, run, n))
+            continue
+        if _embedded(text, start, m.end(), private):
+            continue
         user = text[m.end() : m.end() + 1] == "@" and _LINK.search(text[max(0, start - 300) : start])
         if run.startswith("//") and text[start - 1 : start] == ":" and _USER.match(text, m.end()):
             run, start, user = run[2:], start + 2, True
