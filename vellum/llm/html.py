@@ -45,14 +45,20 @@ _CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr
 _CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*[\"']?([\w\- ]+)", re.I)
 _CONTENT = frozenset(["article", "main", ".article", ".main", ".content"])
 _REST = frozenset(["nav", "footer", "aside", "header", "form", ".ad", ".ads", ".menu", ".nav", ".footer", ".sidebar", ".navigation", ".banner", ".cookie"])
+_TELLING = _CONTENT | _REST
 _SPACE = re.compile(r"\s+")
+_rng = np.random.RandomState(11)
+_PATH = _rng.normal(0, 1, (4096, PATH)).astype(np.float32)
+_WORD = _rng.normal(0, 1, (4096, WORDS)).astype(np.float32)
 
 
-@dataclass
-class Block:
-    path: tuple[str, ...]
-    text: str
-    link: float
+@lru_cache(50_000)
+def _hashed(names: tuple[str, ...]) -> np.ndarray:
+    """Sum of the names' vectors."""
+    if not names:
+        return np.zeros(PATH, np.float32)
+    codes = np.array([int.from_bytes(n.encode()[:8], "little") + 131 * len(n) + sum(n.encode()) * 65_537 for n in names], np.uint64)
+    return _PATH[(mix(codes) & np.uint64(4095)).astype(np.int64)].sum(0)
 
 
 @lru_cache(4096)
@@ -61,10 +67,77 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     return (tag, *(f".{c}" for x in m for c in x.lower().split()))
 
 
+class Path:
+    """The block-level elements above a block, as a node of a tree of paths: a step down costs the same however deep
+    it is, and pages of like build share nodes. ``label`` is what the innermost telling element says."""
+
+    __slots__ = ("parent", "names", "steps", "label", "sums", "counts", "lasts", "_vectors")
+    made = 0
+
+    def __init__(self, parent: Path | None, names: tuple[str, ...]):
+        self.parent, self.names, self.steps = parent, names, {}
+        self.label: int | None = parent.label if parent else None
+        for name in names:
+            self.label = 1 if name in _CONTENT else 0 if name in _REST else self.label
+        # All names, and those that don't tell: sum of their vectors, how many, and the last three.
+        self.sums, self.counts, self.lasts = [], [], []
+        self._vectors: list[np.ndarray | None] = [None, None]
+        for k, own in enumerate((names, tuple(n for n in names if n not in _TELLING))):
+            above = (parent.sums[k], parent.counts[k], parent.lasts[k]) if parent else (np.zeros(PATH, np.float32), 0, ())
+            self.sums.append(above[0] + _hashed(own) if own else above[0])
+            self.counts.append(above[1] + len(own))
+            self.lasts.append((*above[2], *own)[-3:])
+
+    def step(self, names: tuple[str, ...]) -> Path:
+        if (node := self.steps.get(names)) is None:
+            node = self.steps[names] = Path(self, names)
+            Path.made += 1
+        return node
+
+    def vector(self, hidden: bool) -> np.ndarray:
+        """Sum of the hashed vectors of the path's elements and of the last three with their place."""
+        if self._vectors[hidden] is None:
+            last = self.lasts[hidden]
+            n = self.counts[hidden] + len(last)
+            self._vectors[hidden] = (self.sums[hidden] + _hashed(tuple(f"{i}:{x}" for i, x in enumerate(reversed(last))))) / np.sqrt(n) if n else self.sums[hidden]
+        return self._vectors[hidden]
+
+    def path(self) -> tuple[str, ...]:
+        out, node = [], self
+        while node.parent is not None:
+            out.append(node.names)
+            node = node.parent
+        return tuple(n for names in reversed(out) for n in names)
+
+
+@dataclass
+class Block:
+    at: Path
+    text: str
+    link: float
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        return self.at.path()
+
+
+#: Paths that a worker keeps between pages.
+KEPT = 100_000
+_root: list[Path] = []
+
+
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page."""
+    """The leaf blocks of a page, in time and memory that follow its length, however deep elements are nested."""
+    if not _root or Path.made > KEPT:
+        Path.made = 0
+        _root[:] = [Path(None, ())]
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    # Open elements with their paths; how many of each block-level tag are open; and for each open block-level
+    # element (and none) how many of each inline tag are open right above it.
+    stack: list[tuple[str, Path]] = []
+    opened: dict[str, int] = {}
+    inline: list[dict[str, int]] = [{}]
+    at = _root[0]
     text: list[str] = []
     linked = links = 0
 
@@ -72,10 +145,21 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         t = _SPACE.sub(" ", unescape("".join(text))).strip()
         if t:
-            out.append(Block(tuple(n for _, names in stack if _ not in _INLINE for n in names), t, min(1.0, linked / len(t))))
+            out.append(Block(at, t, min(1.0, linked / len(t))))
         text.clear()
         linked = 0
 
+    def pop() -> str:
+        nonlocal at
+        tag, _ = stack.pop()
+        if tag in _INLINE:
+            inline[-1][tag] -= 1
+        else:
+            opened[tag] -= 1
+            inline.pop()
+        at = stack[-1][1] if stack else _root[0]
+        return tag
+
     for m in _TOKEN.finditer(page):
         words = m.group(5)
         if words is not None:
@@ -92,11 +176,10 @@ def blocks(page: str) -> list[Block]:
                 links = max(0, links - 1)
             if tag not in _INLINE:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if not (tag in _INLINE and any(t not in _INLINE for t, _ in stack[i + 1 :])):
-                        del stack[i:]
-                    break
+            # An inline element is closed up to the next block-level one only.
+            if (inline[-1] if tag in _INLINE else opened).get(tag):
+                while pop() != tag:
+                    pass
             continue
         if tag == "br":
             text.append("\n")
@@ -105,41 +188,27 @@ def blocks(page: str) -> list[Block]:
             flush()
             links = 0
             while stack and stack[-1][0] in _INLINE:
-                stack.pop()
+                pop()
             closes = _CLOSES.get(tag)
             if closes and stack and stack[-1][0] in closes:
-                stack.pop()
+                pop()
         elif tag == "a":
             links += 1
         if tag not in _VOID and not m.group(4).endswith("/"):
-            stack.append((tag, _names(tag, m.group(4))))
+            if tag in _INLINE:
+                inline[-1][tag] = inline[-1].get(tag, 0) + 1
+            else:
+                opened[tag] = opened.get(tag, 0) + 1
+                inline.append({})
+                at = at.step(_names(tag, m.group(4)))
+            stack.append((tag, at))
     flush()
     return out
 
 
 def label(block: Block) -> int | None:
     """1 or 0 if the page says so itself: the innermost telling element counts."""
-    for name in reversed(block.path):
-        if name in _CONTENT:
-            return 1
-        if name in _REST:
-            return 0
-    return None
-
-
-_rng = np.random.RandomState(11)
-_PATH = _rng.normal(0, 1, (4096, PATH)).astype(np.float32)
-_WORD = _rng.normal(0, 1, (4096, WORDS)).astype(np.float32)
-
-
-@lru_cache(50_000)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """Sum of the hashed vectors of the path's elements and of the last three with their place."""
-    names = [*path, *(f"{i}:{n}" for i, n in enumerate(reversed(path[-3:])))]
-    if not names:
-        return np.zeros(PATH, np.float32)
-    codes = np.array([int.from_bytes(n.encode()[:8], "little") + 131 * len(n) + sum(n.encode()) * 65_537 for n in names], np.uint64)
-    return _PATH[(mix(codes) & np.uint64(4095)).astype(np.int64)].sum(0) / np.sqrt(len(names))
+    return block.at.label
 
 
 def features(pages: list[list[Block]], hide: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -149,10 +218,9 @@ def features(pages: list[list[Block]], hide: np.ndarray | None = None) -> tuple[
     x = np.zeros((len(every), WIDTH), np.float32)
     if not every:
         return x, offsets
-    telling = _CONTENT | _REST
     hidden = np.repeat(hide, np.diff(offsets)).tolist() if hide is not None else [False] * len(every)
     for i, b in enumerate(every):
-        x[i, :PATH] = _path_vector(tuple(n for n in b.path if n not in telling) if hidden[i] else b.path)
+        x[i, :PATH] = b.at.vector(bool(hidden[i]))
     hashes, at = word_hashes(pa.array([b.text for b in every], pa.large_string()))
     n = np.diff(at)
     sums = np.concatenate([np.zeros((1, WORDS)), np.cumsum(_WORD[(hashes & np.uint64(4095)).astype(np.int64)], 0, dtype=np.float64)])
