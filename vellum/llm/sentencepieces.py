@@ -8,7 +8,7 @@ piece and is written as its UTF-8 bytes, in the model's byte pieces.
 
 As in the file's normaliser, a blank is the marker U+2581 and a text begins with one more; nothing else is
 changed. Decoding puts bytes together, makes markers blanks and takes off the first one, so every text comes
-back as it was but for one case: a text's own U+2581 comes back as a blank.
+back as it was but for one case: a text's own U+2581 comes back as a blank, and ``round_trip`` is false.
 
 No piece has the marker after another character, or a line feed (both are checked when the model is read).
 So the best segmentation of a text is that of its parts, cut before markers and around line feeds; a part is
@@ -265,7 +265,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()), mask=null)
                 size = pa.array([None if x is None else len(x) for x in ids], pa.int32())
-                same = pa.array([None if x is None else m.decode(x) == t.replace(MARK, " ") for x, t in zip(ids, texts)], pa.bool_())
+                same = pa.array([None if x is None else m.decode(x) == t for x, t in zip(ids, texts)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, size, same], ["doc_id", "ids", "n_pieces", "round_trip"])
 
     ship(docs.sparkSession)
