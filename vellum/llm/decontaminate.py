@@ -12,9 +12,10 @@ alike if the weighted Jaccard similarity of their trigrams is ``SIMILARITY`` at
    block values that near to an item's gives every item within the radius, without exception.
 3. Candidates within the radius are verified by the exact weighted similarity.
 
-The benchmark's tables go to every executor; ``MOST_ITEMS`` checks its size, and a larger benchmark is
-searched in slices of that many items, one pass over the documents each. Weights are counted over the whole
-benchmark first: their table (16 bytes a trigram of the benchmark) goes to every executor once, for all slices.
+The benchmark's tables go to every executor; ``MOST_ITEMS`` checks their size, and a larger benchmark is
+searched in slices of that many items. Then condition 1 is tested over the whole benchmark first, in one pass, and
+only documents with windows that remain are read for each slice. Weights are counted over the whole benchmark:
+their table (16 bytes a trigram of the benchmark) goes to every executor once. Workers make the block tables.
 
 Defined results: null and empty texts, and items of fewer than three words, give no rows; repeated items
 are found each under its item_id, repeated documents each on its own; of several windows of a document like
@@ -29,11 +30,12 @@ from itertools import chain, combinations, islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.text_kernel import chunks, mix, ngram_hashes, word_hashes
-from vellum.session import ship
+from vellum.session import ship, written
 
 SHINGLE = 3
 SIMILARITY = 0.7
@@ -84,32 +86,85 @@ class Weights:
         return np.where(self.known[at] == hashes, self.weight[at], self.other)
 
 
+class Screen:
+    """The necessary condition: windows whose part of the known trigrams can make up an item of their length.
+    ``sizes`` has the least weight of an item for each number of words."""
+
+    def __init__(self, known: np.ndarray, weight: np.ndarray, sizes: dict[int, float]):
+        self.known, self.weight, self.sizes = known, weight, sorted(sizes.items())
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[(known & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+
+    def windows(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, int, np.ndarray, np.ndarray]]:
+        """(text, its trigrams, its words, starts, lengths) for each text that has such windows."""
+        if not self.sizes:
+            return
+        h, o = word_hashes(texts)
+        grams, s = ngram_hashes(h, o, SHINGLE)
+        hit = np.flatnonzero(self.maybe[(grams & np.uint64((1 << 22) - 1)).astype(np.int64)])
+        if not len(hit):
+            return
+        at = np.minimum(np.searchsorted(self.known, grams[hit]), len(self.known) - 1)
+        ok = self.known[at] == grams[hit]
+        hit, at = hit[ok], at[ok]
+        weight = np.zeros(len(grams))
+        weight[hit] = self.weight[at]
+        sums = np.concatenate([[0.0], np.cumsum(weight)])
+        # A window weighs no more than the longest one from the same place, in this text or beyond.
+        least = min(t for _, t in self.sizes) * SIMILARITY - 1e-6
+        place = np.arange(len(grams))
+        far = np.minimum(place + self.sizes[-1][0], len(grams))
+        place = place[sums[far] - sums[:-1] >= least]
+        text = np.searchsorted(s, place, "right") - 1
+        for d in np.unique(text).tolist():
+            own = place[np.searchsorted(text, d) : np.searchsorted(text, d, "right")] - s[d]
+            n = int(o[d + 1] - o[d])
+            start, length = self._windows(sums[s[d] : s[d + 1] + 1], n, own)
+            if len(start):
+                yield d, grams[s[d] : s[d + 1]], n, start, length
+
+    def _windows(self, sums: np.ndarray, n_words: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows of one text from the places: each (start, length in trigrams) once."""
+        starts, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k, total in self.sizes if n_words >= SHINGLE else ():
+            m = min(k, n_words) - SHINGLE + 1
+            w = place[place + m < len(sums)]
+            w = w[sums[w + m] - sums[w] >= SIMILARITY * total - 1e-6]
+            starts.append(w)
+            lengths.append(np.full(len(w), m))
+        both = np.unique(np.concatenate(starts) * np.int64(n_words + 1) + np.concatenate(lengths))
+        return both // (n_words + 1), both % (n_words + 1)
+
+
 class Items:
     """The tables of a benchmark or a slice of it. ``weights`` are the whole benchmark's; they don't go with
-    the tables to a worker, where ``weighed`` puts them back."""
+    the tables to a worker, where ``weighed`` puts them back and the blocks are made."""
 
     def __init__(self, ids: list[int], texts: list[str], weights: Weights | None = None):
         self.weights = weights or Weights([texts])
         keep, self.size, self.sets = _sets(texts)
         self.ids = np.array([ids[i] for i in keep], np.int64)
-        self.known = np.unique(np.concatenate([*self.sets, np.zeros(0, np.uint64)]))
-        self.weight = self.weigh(self.known)
+        known = np.unique(np.concatenate([*self.sets, np.zeros(0, np.uint64)]))
         self.total = np.array([self.weigh(x).sum() for x in self.sets])
         self.print = np.array([fingerprint((signs(x) * self.weigh(x)[:, None]).sum(0, keepdims=True))[0] for x in self.sets], np.uint64)
-        self.sizes = [(int(k), float(self.total[self.size == k].min())) for k in np.unique(self.size)]
-        self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[(self.known & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        masks = np.array([sum(1 << b for b in c) for k in range(RADIUS // 4 + 1) for c in combinations(range(16), k)], np.int64)
-        self.blocks = []
-        for b in range(4):
-            value = ((self.print >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
-            near = (value[:, None] ^ masks[None, :]).reshape(-1)
-            order = np.argsort(near, kind="stable")
-            start = np.searchsorted(near[order], np.arange(65_537))
-            self.blocks.append((start, (order // len(masks)).astype(np.int32)))
+        self.screen = Screen(known, self.weigh(known), {int(k): float(self.total[self.size == k].min()) for k in np.unique(self.size)})
+        self._blocks: list[tuple[np.ndarray, np.ndarray]] = []
+
+    @property
+    def blocks(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of the four blocks: where each value's items begin, and the items near to each value."""
+        if not self._blocks:
+            masks = np.array([sum(1 << b for b in c) for k in range(RADIUS // 4 + 1) for c in combinations(range(16), k)], np.int64)
+            for b in range(4):
+                value = ((self.print >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
+                near = (value[:, None] ^ masks[None, :]).reshape(-1)
+                order = np.argsort(near, kind="stable")
+                start = np.searchsorted(near[order], np.arange(65_537))
+                self._blocks.append((start, (order // len(masks)).astype(np.int32)))
+        return self._blocks
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"weights": None}
+        return self.__dict__ | {"weights": None, "_blocks": []}
 
     def weighed(self, weights: Weights) -> Items:
         self.weights = weights
@@ -133,46 +188,9 @@ class Items:
 
     def search(self, texts: pa.Array) -> list[tuple[int, int, int, int, float]]:
         """(text, item, first word, words, similarity) of the best window for each text and item."""
-        if not len(self.ids):
-            return []
-        h, o = word_hashes(texts)
-        grams, s = ngram_hashes(h, o, SHINGLE)
-        hit = np.flatnonzero(self.maybe[(grams & np.uint64((1 << 22) - 1)).astype(np.int64)])
-        if not len(hit):
-            return []
-        at = np.minimum(np.searchsorted(self.known, grams[hit]), len(self.known) - 1)
-        ok = self.known[at] == grams[hit]
-        hit, at = hit[ok], at[ok]
-        weight = np.zeros(len(grams))
-        weight[hit] = self.weight[at]
-        sums = np.concatenate([[0.0], np.cumsum(weight)])
-        # A window weighs no more than the longest one from the same place, in this text or beyond.
-        least = min(t for _, t in self.sizes) * SIMILARITY - 1e-6
-        place = np.arange(len(grams))
-        far = np.minimum(place + self.sizes[-1][0], len(grams))
-        place = place[sums[far] - sums[:-1] >= least]
-        text = np.searchsorted(s, place, "right") - 1
-        out = []
-        for d in np.unique(text).tolist():
-            own = place[np.searchsorted(text, d) : np.searchsorted(text, d, "right")] - s[d]
-            out += [(d, *r) for r in self._document(grams[s[d] : s[d + 1]], sums[s[d] : s[d + 1] + 1], int(o[d + 1] - o[d]), own)]
-        return out
-
-    def _document(self, grams: np.ndarray, sums: np.ndarray, n_words: int, place: np.ndarray) -> list[tuple[int, int, int, float]]:
-        if n_words < SHINGLE:
-            return []
-        starts, lengths = [], []
-        for k, total in self.sizes:
-            m = min(k, n_words) - SHINGLE + 1
-            w = place[place + m < len(sums)]
-            w = w[sums[w + m] - sums[w] >= SIMILARITY * total - 1e-6]
-            starts.append(w)
-            lengths.append(np.full(len(w), m))
-        start, length = np.concatenate(starts), np.concatenate(lengths)
-        if not len(start):
-            return []
-        pairs = np.unique(start * np.int64(1 << 20) + length)
-        start, length = pairs >> 20, pairs & ((1 << 20) - 1)
+        return [(d, *r) for d, grams, n, start, length in self.screen.windows(texts) for r in self._document(grams, n, start, length)]
+
+    def _document(self, grams: np.ndarray, n_words: int, start: np.ndarray, length: np.ndarray) -> list[tuple[int, int, int, float]]:
         best: dict[int, tuple[float, int, int]] = {}
         for i in range(0, len(start), 4096):
             a, b = start[i : i + 4096], length[i : i + 4096]
@@ -211,27 +229,51 @@ def _texts(benchmark: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
         yield [i for i, _ in part], [t for _, t in part]
 
 
-def _slices(benchmark: DataFrame) -> tuple[Weights, list[Items]]:
-    """The weights of the whole benchmark, and its tables in slices: a second pass over it, if it has several."""
+def _slices(benchmark: DataFrame) -> tuple[Broadcast, list[Broadcast], Screen]:
+    """The weights of the whole benchmark, its tables in slices, and the screen of all of it. The driver holds the
+    weights and one slice at a time; a benchmark of several slices is read a second time."""
+    ship(benchmark.sparkSession)
+    send = benchmark.sparkSession.sparkContext.broadcast
     slices = _texts(benchmark)
     first = [*islice(slices, 2)]
     if len(first) < 2:
         items = Items(*(first or [([], [])])[0])
-        return items.weights, [items]
+        return send(items.weights), [send(items)], items.screen
     weights = Weights(t for _, t in chain(first, slices))
-    return weights, [Items(i, t, weights) for i, t in _texts(benchmark)]
+    sizes: dict[int, float] = {}
+    out = []
+    for ids, texts in _texts(benchmark):
+        items = Items(ids, texts, weights)
+        for k, total in items.screen.sizes:
+            sizes[k] = min(total, sizes.get(k, total))
+        out.append(send(items))
+    return send(weights), out, Screen(weights.known, weights.weight, sizes)
+
+
+def _screened(docs: DataFrame, screen: Screen, some: bool) -> DataFrame:
+    """The documents that have windows to look at, or have none."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(screen), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, at):
+                keep = np.full(part.num_rows, not some)
+                keep[[w[0] for w in shared.value.windows(part.column(at))]] = some
+                yield part.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, similarity): every document and item of which some window is
-    alike. Narrow passes over the documents; nothing is shuffled."""
-    spark = ship(docs.sparkSession)
+    alike. Narrow passes over the documents; nothing is shuffled. With several slices one pass over all
+    documents writes those with windows to look at, and each slice searches these only."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
-    weights, slices = _slices(benchmark)
-    table = spark.sparkContext.broadcast(weights)
-    for items in slices:
-        shared = spark.sparkContext.broadcast(items)
+    table, slices, screen = _slices(benchmark)
+    if len(slices) > 1:
+        d = written(_screened(d, screen, True), "screened")
+    for shared in slices:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -248,14 +290,12 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, with all their columns, of which no window is like a benchmark item. The test stands
-    in the pass over the documents itself, so that their texts are not shuffled."""
-    spark = ship(docs.sparkSession)
+    in the pass over the documents itself, so that their texts are not shuffled; with several slices, only
+    documents with windows to look at go through all of them."""
     at = docs.columns.index("text")
-    out = docs
-    weights, slices = _slices(benchmark)
-    table = spark.sparkContext.broadcast(weights)
-    for items in slices:
-        shared = spark.sparkContext.broadcast(items)
+    table, slices, screen = _slices(benchmark)
+    out = docs if len(slices) == 1 else _screened(docs, screen, True)
+    for shared in slices:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -265,4 +305,4 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     yield part.filter(pa.array(keep))
 
         out = out.mapInArrow(run, docs.schema)
-    return out
+    return out if len(slices) == 1 else out.unionAll(_screened(docs, screen, False))
