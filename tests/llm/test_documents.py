@@ -221,6 +221,49 @@ def test_secrets_in_links_and_joined_runs(spark):
     assert [r.text for r in secrets.redact(frame(spark, [f"postgres://user:{password}@host"])).collect()] == ["postgres://user:[SECRET]@host"]
 
 
+def test_secrets_are_not_embedded_data(spark):
+    """Data URIs, certificates, attachments and long blobs stay; a private key's lines and keys beside them go."""
+    path = bpe.vocabulary_path()
+    r = np.random.RandomState(3)
+    blob = lambda n: "".join(r.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), n))
+    lines = [blob(64) for _ in range(5)] + [blob(31) + "="]
+    body = "\n".join(lines)
+    certificate, key = (f"-----BEGIN {x}-----\n{body}\n-----END {x}-----\n" for x in ("CERTIFICATE", "RSA PRIVATE KEY"))
+    for clean in (f"<img src='data:image/png;base64,{blob(4000)}'>", f"url(data:font/woff2;charset=utf-8;base64,{blob(300)}) x", f"x {blob(5000)} y", f"\n{body[:-34]}\n", f"see\n{body[:-34]}"):
+        assert secrets.find(clean, path) == [], clean[:80]
+    assert [x for _, x, _ in secrets.find(certificate + f"key={SECRETS[2]}", path)][-1] == SECRETS[2] and not {x for _, x, _ in secrets.find(certificate, path)} & set(lines[:5])
+    assert set(lines[:5]) <= {x for _, x, _ in secrets.find(key, path)}
+    assert [x for _, x, _ in secrets.find(f"data:image/png;base64,{blob(200)} token={SECRETS[1]}", path)] == [SECRETS[1]]
+    assert [(a, x) for a, x, _ in secrets.find("api_key=Zx9kQ2vB7pL4 and abcdef12345x, password: correcthorse", path)] == [(8, "Zx9kQ2vB7pL4")]
+
+
+def test_secrets_by_another_reading(spark):
+    """Runs of letters and digits between blanks, judged by the library's token count and nothing else."""
+    import random
+
+    path = bpe.vocabulary_path()
+    encode = bpe.encoding(path).encode_ordinary
+    r = random.Random(5)
+    for _ in range(300):
+        tokens = []
+        for _ in range(20):
+            kind = r.random()
+            if kind < 0.4:
+                tokens.append("".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz123456789") for _ in range(r.randint(16, 44))))
+            elif kind < 0.6:
+                tokens.append("".join(r.choice("0123456789abcdef") for _ in range(r.choice([16, 20, 31, 32, 33, 40, 64]))))
+            else:
+                tokens.append("".join(r.choice(["inter", "nation", "al", "ization", "comm", "unity", "able"]) for _ in range(r.randint(2, 6))))
+        text, want, at = " ".join(tokens), [], 0
+        for x in tokens:
+            digest = len(x) in (32, 40, 64) and set(x) <= set("0123456789abcdef")
+            bound = 1.5 if x.isalpha() else 2.4
+            if len(x) >= 16 and not digest and not x.isdigit() and len(x) < bound * len(encode(x)) and not secrets._identifier(x):
+                want.append((at, x))
+            at += len(x) + 1
+        assert [(a, x) for a, x, _ in secrets.find(text, path)] == want
+
+
 def test_secrets_planted_in_the_table(docs):
     """Every key of the generator's three forms is found, and nothing else."""
     import re
@@ -279,6 +322,8 @@ def score_by_hand(model, text):
         w = "<" + raw[a:b].tobytes().decode() + ">"
         assert len(ids) == 1 + sum(max(0, len(w) - k + 1) for k in (3, 4, 5)) and first[-1] == len(ids)
         bags.append(ids)
+    if not model.share[np.concatenate(bags)].any():
+        return 0.0
     mean = lambda some: model.share[np.concatenate(some)].astype(np.float64).mean()
     w = toxicity.WINDOW
     z = mean(bags) + np.mean(sorted((mean(bags[i : i + w]) for i in range(0, len(bags), w)), reverse=True)[: toxicity.TOP])
@@ -300,6 +345,20 @@ def test_toxicity_held_out_and_by_hand(spark):
     assert (m.scores(pa.array(unseen)) > m.scores(pa.array([f"{clean} {clean}"]))[0] + 0.3).all()
 
 
+def test_toxicity_of_few_labels(spark, empty):
+    """Five labels a class don't reject neutral documents; what five abusive texts share is found."""
+    for slur in ("zyxqot vrumpfk", "you stupid idiot"):
+        texts = [f"{words(30, i)} {slur} {words(30, 100 + i)}" for i in range(5)] + [words(60, 200 + i) for i in range(5)] + [words(60, 300 + i) for i in range(40)]
+        docs = frame(spark, texts)
+        labels = spark.createDataFrame([(i, 1, int(i < 5)) for i in range(10)], "doc_id long, quality int, toxic int")
+        kept = {r.doc_id for r in toxicity.keep_clean(docs, labels).collect()}
+        assert set(range(5, 10)) <= kept and len(kept & set(range(10, 50))) >= 38
+        # No n-gram is in two texts: there is no model, and nothing goes.
+        alone = frame(spark, [f"{chr(0x4E00 + i)}" for i in range(10)])
+        assert toxicity.keep_clean(alone, labels).count() == 10 and toxicity.reject(alone, labels).isEmpty()
+    assert toxicity.least_texts(np.array([0] * 5 + [1] * 5)) == 2 and toxicity.least_texts(np.array([0] * 1500 + [1] * 1500)) == 10
+
+
 def test_toxicity_odd(spark, odd, empty, sf_dir):
     labels = spark.createDataFrame([(3, 1, 1), (3, 1, 0), (4, 0, 0), (5, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     none = labels.where("false")
@@ -506,7 +565,8 @@ def test_sentencepiece_is_the_library(spark, docs, odd, empty):
     got = {r.doc_id: r for r in sentencepieces.encode(docs).collect()}
     assert all(r.round_trip and r.n_pieces == len(r.ids) and r.ids == m.encode(x.text).tolist() for x in docs.collect() for r in [got[x.doc_id]])
     r = sentencepieces.encode(odd).collect()
-    assert len(r) == odd.count() and {x.round_trip for x in r} == {True, None} and all((x.ids is None) == (x.n_pieces is None) for x in r)
+    own = {x.doc_id: x.text for x in odd.collect()}
+    assert len(r) == odd.count() and all(x.round_trip == (None if own[x.doc_id] is None else "\u2581" not in own[x.doc_id]) for x in r if x.doc_id not in (3, 4, 5)) and all((x.ids is None) == (x.n_pieces is None) for x in r)
     assert rows(sentencepieces.encode(empty)) == []
 
 

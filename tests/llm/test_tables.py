@@ -19,6 +19,41 @@ def test_blocks():
         html.blocks(broken)
 
 
+def test_blocks_of_deep_pages():
+    """Work follows a page's length: unclosed elements, and closing tags of none, don't make it quadratic."""
+    for page, n in (("<div>a" * 60_000, 60_000), ("<div>" * 60_000 + "</p>a" * 60_000, 60_000), ("<i><div>" + "<b>" * 60_000 + "</i>a" * 60_000, 1), ("<p class='x'>a" * 60_000, 60_000)):
+        got = html.blocks(page)
+        assert len(got) == n and html.features([got])[0].shape == (n, html.WIDTH)
+    assert got[-1].path == ("p", ".x") and len(html.blocks("<div>a" * 300)[-1].path) == 300
+
+
+def test_network_by_a_plain_loop():
+    """Gates, states and output as the equations say, one block and one unit at a time."""
+    from math import exp, tanh
+
+    sigmoid = lambda z: 1 / (1 + exp(-z))
+    r = np.random.RandomState(8)
+    net = html.Network(4)
+    x = r.normal(0, 1, (9, html.WIDTH)).astype(np.float32)
+    got = net.probabilities(x, np.array([0, 5, 5, 9]))
+    want = []
+    for page in (x[:5], x[5:]):
+        states = []
+        for d, w in enumerate(net.W):
+            h, c, seen = [0.0] * html.HIDDEN, [0.0] * html.HIDDEN, {}
+            for t in range(len(page)) if d == 0 else reversed(range(len(page))):
+                inputs = [*page[t].tolist(), *h, 1.0]
+                z = [sum(v * float(w[k, j]) for k, v in enumerate(inputs)) for j in range(4 * html.HIDDEN)]
+                n = html.HIDDEN
+                for j in range(n):
+                    c[j] = sigmoid(z[n + j]) * c[j] + sigmoid(z[j]) * tanh(z[3 * n + j])
+                h = [sigmoid(z[2 * n + j]) * tanh(c[j]) for j in range(n)]
+                seen[t] = h
+            states.append(seen)
+        want += [sigmoid(sum(float(o) * v for o, v in zip(net.out, [*states[0][t], *states[1][t], 1.0]))) for t in range(len(page))]
+    assert np.abs(got - want).max() < 1e-4
+
+
 def test_labeller_on_held_out_pages(spark):
     pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()]
     net = html.train(pages[:120], epochs=10)
