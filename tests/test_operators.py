@@ -116,6 +116,35 @@ def test_batch_run_and_resume(spark, folder):
     assert "Confidential" not in text and "doc1" not in text and json.loads(text)["schemaVersion"] == "1.0"
 
 
+def test_batch_exports_and_odd_names(spark, folder):
+    """A JSON file for each document and an indented aggregate; a resumed run reads names with signs of patterns."""
+    import hashlib
+
+    o = batch.Options(str(folder / "in"), str(folder / "out"), perfile=True)
+    batch.run(spark, o)
+    odd = folder / "in" / "a [1] {b} ? *.pdf"
+    odd.write_bytes(text_pdf("Odd name"))
+    assert batch.run(spark, o).first().total == 4
+    ids = {r.id for r in spark.read.parquet(f"{o.output}/ledger").collect()}
+    files = {p.stem: json.loads(p.read_text()) for p in (folder / "out" / "perfile").iterdir()}
+    assert set(files) == ids and {f["status"] for f in files.values()} == {"Processed", "Rejected"} and len(ids) == 4
+    rows = {r.id: r.input_hash for r in spark.read.parquet(f"{o.output}/ledger").collect()}
+    assert hashlib.sha256(odd.read_bytes()).hexdigest() in rows.values()
+    text = (folder / "out" / "aggregate.json").read_text()
+    assert json.loads(text)["total"] == 4 and text.startswith('{\n  "total"')
+
+
+def test_word_distance_of_many_words(spark):
+    """More distinct words than the basic plane has characters; a report leaves out what has no distance."""
+    a = [f"w{i}" for i in range(45_000)]
+    df = spark.createDataFrame([("en", " ".join(a[:20]), " ".join(a[:19]), 0.95)], "language string, reference string, hypothesis string, confidence double")
+    assert ocr.measured(df).first().word_edits == 1
+    big = df.selectExpr("language", "array_join(transform(sequence(0, 44999), x -> concat('w', x)), ' ') AS reference", "'w1' AS hypothesis", "confidence")
+    assert ocr.measured(big).select("word_edits").first().word_edits == 44_999
+    none = ocr.measured(df).withColumn("word_edits", F.lit(None).cast("int"))
+    assert none.agg(ocr._figures()[-1]).first()[0] == 0.0
+
+
 def test_stream_gives_the_batch_ledger(spark, folder):
     o = batch.Options(str(folder / "in"), str(folder / "s"), records=False)
     incremental.start(spark, o, str(folder / "c")).awaitTermination(120)
@@ -127,6 +156,12 @@ def test_stream_gives_the_batch_ledger(spark, folder):
     assert same(o.output) == same(b.output) and len(same(b.output)) == 4
 
 
+def test_json_has_finite_numbers(spark):
+    df = spark.createDataFrame([("a", float("nan"), [1.5, float("-inf")], None)], "doc_id string, x double, xs array<double>, s struct<y:double>")
+    got = to_json(df.select("doc_id", F.struct("x", F.struct("xs").alias("inner"), "s").alias("record"))).first().json
+    assert json.loads(got) == {"x": 0, "inner": {"xs": [1.5, 0]}, "s": None}
+
+
 def test_record_json(spark):
     made = [("a", bytearray(text_pdf("Hello there\n" * 4, ruled=True, image=True, field="x"))), ("b", bytearray(b"%PDF-1.4 broken %%EOF")), ("c", bytearray(b"no"))]
     f = Facts(spark.createDataFrame(made, "doc_id string, content binary"))

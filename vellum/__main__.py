@@ -1,4 +1,4 @@
-"""Command line: ``python -m vellum FILE [DPI] [--json] [--password=P]`` or ``python -m vellum batch IN OUT``."""
+"""Command line: ``python -m vellum FILE [DPI] [--json] [--password=P]`` or ``python -m vellum batch IN OUT [--perfile]``."""
 
 from __future__ import annotations
 
@@ -24,7 +24,7 @@ def main(args: list[str]) -> int:
         if len(plain) < 3:
             print(__doc__)
             return 2
-        o = batch.Options(plain[1], plain[2], int(flags.get("dpi") or 150), flags.get("password"), "no-records" not in flags)
+        o = batch.Options(plain[1], plain[2], int(flags.get("dpi") or 150), flags.get("password"), "no-records" not in flags, "perfile" in flags)
         batch.run(spark, o).show(truncate=False, vertical=True)
         return 0
     f = Facts(pdf.files(spark, plain[0]).select(F.col("path").alias("doc_id"), "content"), flags.get("password"), int(plain[1]) if len(plain) > 1 else 150)

@@ -107,19 +107,19 @@ def char_distance(reference: Column, hypothesis: Column) -> Column:
 
 def word_distance(reference: Column, hypothesis: Column) -> Column:
     """Edit distance of words: each distinct word of the pair becomes one character of a private alphabet,
-    then it is the distance of strings. The alphabet has 41,000 characters; past that, of the basic plane
-    above the surrogates, it ends, and such pairs give null."""
+    then it is the distance of strings. The alphabet is the supplementary planes, 1,048,576 characters; a pair of
+    more distinct words gives null."""
 
     def let(value: Column, body) -> Column:
         """``body`` of a value that is worked out once a row, also where lambdas read it."""
         return F.transform(F.array(value), body)[0]
 
     def coded(words: Column, vocabulary: Column) -> Column:
-        codes = F.transform(words, lambda w: F.lpad(F.hex(F.array_position(vocabulary, w) + F.lit(0x3400)), 4, "0"))
-        return F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
+        codes = F.transform(words, lambda w: F.lpad(F.hex(F.array_position(vocabulary, w) + F.lit(0xFFFF)), 8, "0"))
+        return F.decode(F.unhex(F.array_join(codes, "")), "UTF-32")
 
     def distance(p: Column, v: Column) -> Column:
-        return F.when(F.size(v) < 0xD800 - 0x3401, F.levenshtein(coded(p["r"], v), coded(p["h"], v)))
+        return F.when(F.size(v) <= 1 << 20, F.levenshtein(coded(p["r"], v), coded(p["h"], v)))
 
     both = F.struct(tokens(reference).alias("r"), tokens(hypothesis).alias("h"))
     return let(both, lambda p: let(F.array_distinct(F.concat(p["r"], p["h"])), lambda v: distance(p, v)))

@@ -16,8 +16,9 @@ DPI_BUCKETS = ["<150", "150-299", "300-599", ">=600"]
 
 def last_wins(ledger: DataFrame, key: str, order: str) -> DataFrame:
     """The newest row of each key."""
-    w = W.partitionBy(key).orderBy(F.col(order).desc())
-    return ledger.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    rest = [c for c in ledger.columns if c != key]
+    newest = ledger.groupBy(key).agg(F.max_by(F.struct(*(F.col(f"`{c}`") for c in rest)), order).alias("_newest"))
+    return newest.select(*(F.col(f"`{c}`") if c == key else F.col(f"_newest.`{c}`") for c in ledger.columns))
 
 
 def to_do(files: DataFrame, ledger: DataFrame) -> DataFrame:

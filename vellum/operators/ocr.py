@@ -20,11 +20,12 @@ def measured(samples: DataFrame) -> DataFrame:
 
 def _figures() -> list[Column]:
     micro = lambda d, n: F.coalesce(F.sum(d) / F.nullif(F.sum(n), F.lit(0)), F.lit(0.0))
-    return [F.count("*").alias("samples"), F.avg("cer").alias("macro_cer"), F.avg("wer").alias("macro_wer"), micro("char_edits", "chars").alias("micro_cer"), micro("word_edits", "words").alias("micro_wer")]
+    return [F.count("*").alias("samples"), F.avg("cer").alias("macro_cer"), F.avg("wer").alias("macro_wer"), micro("char_edits", "chars").alias("micro_cer"), micro("word_edits", F.when(F.col("word_edits").isNotNull(), F.col("words"))).alias("micro_wer")]
 
 
 def report(samples: DataFrame) -> DataFrame:
-    """(scope, name, figures ...): of all samples and of each language, in one pass of grouping sets."""
+    """(scope, name, figures ...): of all samples and of each language, in one pass of grouping sets. A sample
+    without a word distance is in none of the figures of words."""
     m = measured(samples).withColumn("language", F.coalesce("language", F.lit("")))
     g = m.groupingSets([["language"], []], "language").agg(F.grouping("language").alias("_all"), *_figures())
     return g.select(F.when(F.col("_all") == 1, "total").otherwise("language").alias("scope"), F.coalesce("language", F.lit("")).alias("name"), *(c for c in g.columns if c not in ("language", "_all")))

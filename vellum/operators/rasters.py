@@ -68,9 +68,9 @@ def decode(xobjects: DataFrame, most: int | None = None) -> DataFrame:
 def color_images(binary: DataFrame, password: str | None = None) -> DataFrame:
     """Pixels of all image XObjects of (doc_id, content), in their documents' colour spaces: palettes, inks
     with tint functions, profiles and Lab need the document, so this is a facet of the kernel's own pass."""
-    from vellum.sources.pdf import facts, gated, split
+    from vellum.sources.pdf import facts, split
 
-    return split(facts(gated(binary).where("gate IS NULL"), password, ("raster",)), "raster")
+    return split(facts(binary, password, ("raster",)), "raster")
 
 
 def bmp(width: int, height: int, components: int, samples: bytes) -> bytes:

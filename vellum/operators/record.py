@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, StructType
 
 from vellum.functions.scalars import algorithm_name, rejection_reason
 from vellum.operators import documents, images, pages, text
-from vellum.sources.pdf import facts, gated, split
+from vellum.sources.pdf import facts, split
 from vellum.session import written
 
 SCHEMA_VERSION = "1.2"
@@ -21,13 +22,13 @@ def listed(rows: DataFrame, order: str, fields: dict[str, Column], name: str) ->
 
 
 class Facts:
-    """The fact tables of a set of documents. The kernel runs once: its rows are written in the shared folder
-    and every table is a filter over them."""
+    """The fact tables of a set of documents. The bytes are read once, by the gate, the hash and the kernel: their
+    rows are written in the shared folder and every table is a filter over them."""
 
-    def __init__(self, binary: DataFrame, password: str | None = None, threshold: int = images.THRESHOLD, facets: tuple[str, ...] = ("document", "page", "run", "image", "field")):
-        g = gated(binary.select(F.col("doc_id").cast("string").alias("doc_id"), "content"))
-        rows = written(facts(g.where("gate IS NULL"), password, facets), "facts")
-        self.rejected = g.where("gate IS NOT NULL").select("doc_id", F.col("gate").alias("reason"))
+    def __init__(self, binary: DataFrame, password: str | None = None, threshold: int = images.THRESHOLD, facets: tuple[str, ...] = ("document", "page", "run", "image", "field"), hashed: bool = False):
+        rows = written(facts(binary, password, facets, hashed), "facts")
+        self.sources = split(rows, "source")
+        self.rejected = self.sources.where("reason IS NOT NULL").select("doc_id", "reason")
         self.documents, self.pages, self.runs, self.fields = (split(rows, k) for k in ("document", "page", "run", "field"))
         self.xobjects = split(rows, "xobject")
         self.images = images.resolution(split(rows, "image").join(self.pages.select("doc_id", "page", F.col("width").alias("page_width"), F.col("height").alias("page_height")), ["doc_id", "page"]), threshold)
@@ -92,6 +93,23 @@ class Facts:
         )
 
 
+def finite(c: Column, kind: DataType) -> Column:
+    """The value with 0 for each number in it that JSON has no sign for."""
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(0.0)).otherwise(c)
+    if isinstance(kind, ArrayType) and _has_floats(kind):
+        return F.transform(c, lambda x: finite(x, kind.elementType))
+    if isinstance(kind, StructType) and _has_floats(kind):
+        return F.when(c.isNotNull(), F.struct(*(finite(c[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+    return c
+
+
+def _has_floats(kind: DataType) -> bool:
+    text = kind.simpleString()
+    return "double" in text or "float" in text
+
+
 def to_json(records: DataFrame) -> DataFrame:
-    """(doc_id, json): nulls stay."""
-    return records.select("doc_id", F.to_json("record", {"ignoreNullFields": "false"}).alias("json"))
+    """(doc_id, json): nulls stay; NaN and infinite numbers are 0."""
+    record = finite(F.col("record"), records.schema["record"].dataType)
+    return records.select("doc_id", F.to_json(record, {"ignoreNullFields": "false"}).alias("json"))

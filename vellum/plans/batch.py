@@ -3,6 +3,9 @@ a stream of new files."""
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vellum.operators import corpus
 from vellum.operators.record import Facts, to_json
-from vellum.session import ship
+from vellum.session import ship, written
 from vellum.sources import pdf
 
 LEDGER = "id string, input_hash string, status string, category string, page_count int, ocr_present boolean, form_present boolean, encryption_algorithm string, encrypted boolean, encrypted_unreadable boolean, rejection string, threshold int, below_threshold_count long, effective_dpis array<double>, seq long"
@@ -18,18 +21,15 @@ LEDGER = "id string, input_hash string, status string, category string, page_cou
 
 @dataclass
 class Options:
-    """``output`` is a folder that all executors share. ``records``: also write the JSON records."""
+    """``output`` is a folder that all executors share. ``records``: also write the JSON records, as one table;
+    ``perfile``: besides, as a file for each document."""
 
     input: str
     output: str
     threshold: int = 150
     password: str | None = None
     records: bool = True
-
-
-def identified(binary: DataFrame) -> DataFrame:
-    """Adds id (of the path) and input_hash (of the content)."""
-    return binary.withColumns({"id": F.sha2("path", 256), "input_hash": F.sha2("content", 256)})
+    perfile: bool = False
 
 
 def ledger(spark: SparkSession, output: str) -> DataFrame:
@@ -43,31 +43,89 @@ def ledger(spark: SparkSession, output: str) -> DataFrame:
     return corpus.last_wins(rows, "id", "seq")
 
 
-def process(files: DataFrame, options: Options, seq: int) -> None:
-    """Runs the documents of (path, content, id, input_hash) and appends to ledger and records."""
-    facts = Facts(files.select(F.col("id").alias("doc_id"), "content"), options.password, options.threshold)
-    rows = files.select("id", "input_hash").join(facts.outcomes(), F.col("id") == F.col("doc_id")).drop("doc_id").withColumn("seq", F.lit(seq).cast("long"))
+def process(files: DataFrame, options: Options, seq: int, hashes: DataFrame | None = None) -> DataFrame:
+    """Runs the documents of (path, content) and appends to ledger and records. ``hashes`` are those known
+    already, as (id, input_hash); without them each file is hashed in the pass that reads it. Returns them."""
+    facts = Facts(files.select(F.sha2("path", 256).alias("doc_id"), "content"), options.password, options.threshold, hashed=hashes is None)
+    if hashes is None:
+        hashes = facts.sources.select(F.col("doc_id").alias("id"), "input_hash")
+    rows = hashes.join(facts.outcomes(), F.col("id") == F.col("doc_id")).drop("doc_id").withColumn("seq", F.lit(seq).cast("long"))
     rows.select([c.strip().split(" ")[0] for c in LEDGER.split(", ")]).write.mode("append").parquet(f"{options.output}/ledger")
     if options.records:
-        to_json(facts.records()).write.mode("append").parquet(f"{options.output}/records")
+        json = to_json(facts.records())
+        json.write.mode("append").parquet(f"{options.output}/records")
+        if options.perfile:
+            export(json, f"{options.output}/perfile")
+    return hashes
+
+
+def export(records: DataFrame, folder: str) -> None:
+    """A file ``<doc_id>.json`` for each row of (doc_id, json), written by the executors; a file appears whole, and
+    a task that is run again writes the same. Ids are file names: those of a run are hexadecimal hashes."""
+
+    def write(rows) -> None:
+        fs, root = filesystem(folder)
+        fs.create_dir(root, recursive=True)
+        for r in rows:
+            put(fs, f"{root}/{r.doc_id}.json", r.json)
+
+    ship(records.sparkSession)
+    records.foreachPartition(write)
+
+
+def filesystem(folder: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+
+
+def put(fs, path: str, text: str) -> None:
+    temporary = f"{path}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(temporary) as f:
+        f.write(text.encode())
+    fs.move(temporary, path)
 
 
 def run(spark: SparkSession, options: Options) -> DataFrame:
     """One run: files that the ledger has with the same content are skipped, all others are processed. Returns
-    the aggregate of all files that are there now, one row, also written as JSON."""
+    the aggregate of all files that are there now, one row, also written as JSON: a line in ``aggregate`` and
+    indented in aggregate.json.
+
+    The first run reads each file once. Later ones hash all files, join the ledger by (id, hash), without contents,
+    and read the bytes of files that are left once more. Their paths go through the driver, which holds the list
+    of all files anyway to plan the scan."""
     ship(spark)
-    files = identified(pdf.files(spark, options.input))
+    files = pdf.files(spark, options.input)
     known = ledger(spark, options.output)
-    seq = (known.agg(F.max("seq")).collect()[0][0] or 0) + 1
-    todo = corpus.to_do(files, known)
-    if not todo.select("id").isEmpty():
-        process(todo, options, seq)
-    now = corpus.reusable(files.select("id", "input_hash"), ledger(spark, options.output)).drop("seq")
-    total = corpus.aggregate(now).withColumn("schemaVersion", F.lit("1.0"))
-    total.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(f"{options.output}/aggregate")
+    seq = known.agg(F.max("seq")).collect()[0][0]
+    if seq is None:
+        there = process(files, options, 1)
+    else:
+        there = resume(files, known, options, seq + 1)
+    now = corpus.reusable(there, ledger(spark, options.output)).drop("seq")
+    total = written(corpus.aggregate(now).withColumn("schemaVersion", F.lit("1.0")), "aggregate")
+    line = total.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    line.coalesce(1).write.mode("overwrite").text(f"{options.output}/aggregate")
+    fs, root = filesystem(options.output)
+    put(fs, f"{root}/aggregate.json", json.dumps(json.loads(line.first().value), indent=2, ensure_ascii=False))
     return total
 
 
+def resume(files: DataFrame, known: DataFrame, options: Options, seq: int) -> DataFrame:
+    """Processes the files that the ledger doesn't have with this content. Returns all files' (id, input_hash)."""
+    listing = written(files.select("path", F.sha2("path", 256).alias("id"), F.sha2("content", 256).alias("input_hash")), "listing")
+    todo = written(corpus.to_do(listing, known), "todo")
+    if paths := [r.path for r in todo.select("path").toLocalIterator()]:
+        chosen = files.sparkSession.read.format("binaryFile").load([escaped(p) for p in paths])
+        process(chosen, options, seq, todo.select("id", "input_hash"))
+    return listing.select("id", "input_hash")
+
+
+def escaped(path: str) -> str:
+    """A path whose signs of a pattern stand for themselves."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def tsv(rows: DataFrame) -> DataFrame:
     """The ledger as lines of 14 columns: booleans as 0 and 1, resolutions rounded and joined by commas."""
     flag = lambda k: F.col(k).cast("int").cast("string")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vellum.operators import corpus
 from vellum.operators.record import Facts, to_json
 from vellum.plans.queries import query
-from vellum.session import table
+from vellum.session import spread, table
 from vellum.sources.synthesize import pdfs
 from vellum.streaming import incremental
 
@@ -23,7 +23,7 @@ l AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) -
 
 def documents(spark: SparkSession, sf_dir: str) -> Facts:
     """A document's language and source say which variant of a file its text becomes."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     field = F.when(F.col("source").endswith("1"), F.col("doc_id").cast("string"))
     flags = {"flate": F.col("lang") != "de", "xref_stream": F.col("lang") == "fr", "ruled": F.col("source").endswith("5"), "image": F.col("source").endswith("7"), "field": field}
     return Facts(pdfs(d.select("doc_id", "text", *(c.alias(k) for k, c in flags.items()))))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import scalars as S
 from vellum.operators import corpus, documents, images, ocr, pages, text, trees
-from vellum.session import table
+from vellum.session import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -310,10 +310,12 @@ z AS (SELECT *, CASE WHEN cn = 0 THEN CASE WHEN ce = 0 THEN 0.0 ELSE 1.0 END ELS
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", "")
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.filter(F.split(t, " "), lambda w: w != "").alias("ws")).where(F.size("ws") > 0)
-    d = d.select("doc_id", F.col("lang").alias("language"), "ws", F.explode(F.sequence(F.lit(0), F.floor((F.size("ws") - 1) / 20).cast("int"))).alias("line"))
-    ref = F.array_join(F.slice("ws", F.col("line") * 20 + 1, 20), " ")
-    d = d.select("doc_id", F.col("line").cast("long").alias("line"), "language", ref.alias("reference"), ((F.col("doc_id") + F.col("line")) % 100 / F.lit(100.0)).alias("confidence"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    d = d.select("doc_id", F.col("lang").alias("language"), F.filter(F.split(t, " "), lambda w: w != "").alias("ws")).where(F.size("ws") > 0)
+    # Each line leaves with its own words only.
+    lines = F.transform(F.sequence(F.lit(0), F.floor((F.size("ws") - 1) / 20).cast("int")), lambda i: F.struct(i.cast("long").alias("line"), F.array_join(F.slice("ws", i * 20 + 1, 20), " ").alias("reference")))
+    d = d.select("doc_id", "language", F.inline(lines))
+    d = d.select("doc_id", "line", "language", "reference", ((F.col("doc_id") + F.col("line")) % 100 / F.lit(100.0)).alias("confidence"))
     return d.withColumn("hypothesis", F.translate("reference", "aeo", "4c0"))
 
 

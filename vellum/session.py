@@ -67,6 +67,13 @@ def _remove() -> None:
             return
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A narrow scan in as many partitions as the session runs at once, where its files give fewer: for passes
+    whose work is in the kernel, not in reading. Large tables have more splits and are left as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df._jdf.queryExecution().toRdd().getNumPartitions() < n else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

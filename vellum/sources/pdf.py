@@ -14,6 +14,7 @@ from vellum.session import ship
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 _RECT = pa.struct([(k, pa.float64()) for k in ("x", "y", "width", "height")])
 _KINDS: dict[str, list[tuple[str, pa.DataType]]] = {
+    "source": [("reason", pa.string()), ("input_hash", pa.string())],
     "document": [("page_count", pa.int32()), ("error", pa.string()), ("is_encrypted", pa.bool_()), ("handler_supported", pa.bool_()), ("algorithm", pa.string()), ("revision", pa.int32()), ("authentication", pa.string()), ("metadata_encrypted", pa.bool_()), ("permissions", pa.int64()), ("has_acro_form", pa.bool_()), ("has_xfa", pa.bool_())],
     "page": [("page", pa.int32()), ("width", pa.float64()), ("height", pa.float64()), ("rotation", pa.int32()), ("ruling_line_count", pa.int64()), ("font_distinct_count", pa.int64())],
     "run": [("run_id", pa.int64()), ("page", pa.int32()), ("text", pa.string()), *((k, pa.float64()) for k in ("x", "y", "width", "font_size")), ("render_mode", pa.int32()), ("is_ocr_layer", pa.bool_()), ("authoritative", pa.int32()), ("fallback", pa.int32()), ("unmapped", pa.int32()), ("space_width_em", pa.float64())],
@@ -44,27 +45,41 @@ def gated(binary: DataFrame) -> DataFrame:
     return binary.withColumn("gate", preflight(F.col("content")))
 
 
-def facts(binary: DataFrame, password: str | None = None, facets: tuple[str, ...] = ("document", "page", "run", "image", "field")) -> DataFrame:
-    """Fact rows of the documents in (doc_id, content): one Python pass, whichever facets are wanted; only the
-    wanted ones cross back. Files that fail the gate never reach it."""
+def facts(binary: DataFrame, password: str | None = None, facets: tuple[str, ...] = ("document", "page", "run", "image", "field"), hashed: bool = False) -> DataFrame:
+    """Fact rows of the documents in (doc_id, content): one pass over the bytes for the gate, the hash (if
+    ``hashed``) and the kernel, whichever facets are wanted; only the wanted ones cross back. Each file has a row
+    of kind "source"; the bytes of those that fail the gate never leave the JVM."""
     from vellum.kernel.facts import analyze
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        held: dict[str, tuple[list[str], list[dict]]] = {}
+
+        def sent(kind: str) -> pa.RecordBatch:
+            """One kind's rows; the other kinds' columns are null."""
+            ids, rows = held.pop(kind)
+            columns = [pa.array(rows, pa.struct(t)) if k == kind else pa.nulls(len(ids), pa.struct(t)) for k, t in _KINDS.items()]
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array([kind] * len(ids), pa.string()), *columns], schema=_SCHEMA)
+
         for batch in batches:
-            for i, c in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = analyze(c.as_py() or b"", password, facets)
+            for i, c, reason, h in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                found = {"source": [{"reason": reason, "input_hash": h}]}
+                if reason is None:
+                    found |= {k: v for k, v in analyze(c.as_py() or b"", password, facets).items() if k in facets}
                 for kind, rows in found.items():
-                    if kind in facets:
-                        held += [{"doc_id": i, "kind": kind, kind: r} for r in rows]
-                        while len(held) >= _HELD:
-                            yield pa.RecordBatch.from_pylist(held[:_HELD], _SCHEMA)
-                            held = held[_HELD:]
-        if held:
-            yield pa.RecordBatch.from_pylist(held, _SCHEMA)
+                    for begin in range(0, len(rows), _HELD):
+                        ids, all_rows = held.setdefault(kind, ([], []))
+                        part = rows[begin : begin + _HELD]
+                        ids += [i] * len(part)
+                        all_rows += part
+                        if len(ids) >= _HELD:
+                            yield sent(kind)
+        for kind in list(held):
+            yield sent(kind)
 
     ship(binary.sparkSession)
-    return binary.select(F.col("doc_id").cast("string"), "content").mapInArrow(run, FACTS)
+    g = gated(binary.select(F.col("doc_id").cast("string").alias("doc_id"), "content"))
+    h = F.sha2("content", 256) if hashed else F.lit(None).cast("string")
+    return g.select("doc_id", F.when(F.col("gate").isNull(), F.col("content")).alias("content"), "gate", h.alias("input_hash")).mapInArrow(run, FACTS)
 
 
 def split(rows: DataFrame, kind: str) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vellum.operators import corpus
 from vellum.plans import batch
 from vellum.session import ship
 from vellum.sources import pdf
@@ -18,12 +17,9 @@ def start(spark: SparkSession, options: batch.Options, checkpoint: str, availabl
     ship(spark)
 
     def each(files: DataFrame, number: int) -> None:
-        known = batch.ledger(files.sparkSession, options.output)
-        todo = corpus.to_do(files, known)
-        if not todo.select("id").isEmpty():
-            batch.process(todo, options, number + 1)
+        batch.resume(files, batch.ledger(files.sparkSession, options.output), options, number + 1)
 
-    writer = batch.identified(pdf.stream(spark, options.input)).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    writer = pdf.stream(spark, options.input).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")).start()
 
 
