@@ -240,3 +240,100 @@ def test_damage():
     with pytest.raises(PdfError):
         jbig2.decode(b"nothing")
     assert not jbig2.inspect(b"")["supported"]
+
+
+def refine(e, contexts, image, base, dx, dy, template, adaptive, typical=False):
+    """Encodes ``image`` as a refinement of ``base``, whose corner lies at (dx, dy) in it."""
+    at = lambda a, x, y: int(a[y, x]) if 0 <= x < a.shape[1] and 0 <= y < a.shape[0] else 0
+    own, other, repeat = jbig2._REFINE[template]
+    if not template:
+        own, other = [*own, adaptive[0]], [*other, adaptive[1]]
+    was = 0
+    for y in range(image.shape[0]):
+        flat = []
+        for x in range(image.shape[1]):
+            around = {at(base, x - dx + u, y - dy + v) for u in (-1, 0, 1) for v in (-1, 0, 1)}
+            flat.append(around.pop() if len(around) == 1 else None)
+        same = 0
+        if typical:
+            same = int(all(f is None or f == image[y, x] for x, f in enumerate(flat)))
+            e.bit(contexts, repeat, same ^ was)
+            was = same
+        for x in range(image.shape[1]):
+            if same and flat[x] is not None:
+                continue
+            c = 0
+            for u, v in own:
+                c = c << 1 | at(image, x + u, y + v)
+            for u, v in other:
+                c = c << 1 | at(base, x - dx + u, y - dy + v)
+            e.bit(contexts, c, int(image[y, x]))
+
+
+@pytest.mark.parametrize("template", [0, 1])
+@pytest.mark.parametrize("typical", [False, True])
+def test_refinement_regions(template, typical):
+    r = np.random.RandomState(template)
+    base = np.kron(r.rand(6, 8) < 0.4, np.ones((4, 4))).astype(np.uint8)
+    image = base ^ (r.rand(*base.shape) < 0.03)
+    adaptive = [] if template else [(-1, -1), (-2, 3)]
+    e = Encoder()
+    e.region([0] * 65_536, base, 0, jbig2._TEMPLATES[0][1])
+    first = u32(32, 24, 3, 2) + b"\0\0" + pairs(jbig2._TEMPLATES[0][1]) + e.end()
+    e = Encoder()
+    refine(e, [0] * 8192, image, base, 0, 0, template, adaptive, typical)
+    second = u32(32, 24, 3, 2) + bytes([0, template | typical << 1]) + pairs(adaptive) + e.end()
+    for kind, refers in ((36, [2]), (38, [])):  # of a region kept for it, and of what is on the page
+        data = page(40, 30) + segment(2, kind, first) + segment(3, 42, second, refers)
+        got = bits(jbig2.decode(data))
+        assert (got[2:26, 3:35] == image).all() and got.sum() == image.sum() and jbig2.decode_page(data)[3] == []
+        assert jbig2.inspect(data)["supported"] and jbig2.inspect(data)["refinement"]
+
+
+@pytest.mark.parametrize("template", [0, 1])
+def test_refined_symbols_of_a_text(template):
+    s, e = symbols(), Encoder()
+    bigger = np.zeros((8, 6), np.uint8)
+    bigger[1:7, 1:5] = s[0]
+    bigger[0, 0] = bigger[7, 5] = 1
+    adaptive = [] if template else [(-1, -1), (-1, -1)]
+    contexts = [0] * 8192
+    e.number("IADT", 0)
+    e.number("IADT", 10)
+    e.number("IAFS", 5)
+    e.symbol(2, 0)
+    e.number("IARI", 1)
+    for name, v in (("IARDW", 2), ("IARDH", 2), ("IARDX", 0), ("IARDY", 0)):
+        e.number(name, v)
+    refine(e, contexts, bigger, s[0], 1, 1, template, adaptive)
+    e.number("IADS", 4)
+    e.symbol(2, 2)
+    e.number("IARI", 0)
+    e.number("IADS", None)
+    text = u32(40, 40, 0, 0) + b"\0" + (2 | 1 << 4 | template << 15).to_bytes(2, "big") + pairs(adaptive) + u32(2) + e.end()
+    want = np.zeros((40, 40), np.uint8)
+    want[10:18, 5:11] = bigger
+    want[10:19, 14:17] |= s[2]
+    assert (bits(jbig2.decode(page(40, 40) + segment(3, 6, text, [0]), segment(0, 0, symbol_dictionary()))) == want).all()
+
+
+def test_pages_of_unknown_height():
+    image = np.eye(20, dtype=int)
+    region = lambda n, y: segment(n, 38, u32(20, 20, 0, y) + b"\0\1" + group4(image))
+    head = segment(1, 48, u32(20, 0xFFFFFFFF, 0, 0) + b"\0\x80\x14")
+    assert bits(jbig2.decode(head + region(2, 0) + segment(3, 50, u32(19)) + region(4, 20) + segment(5, 50, u32(44)))).shape == (45, 20)
+    assert bits(jbig2.decode(head + region(2, 0))).shape == (20, 20)
+
+
+def test_what_is_left_out_is_an_error(spark):
+    """Pixels of an image with a halftone, or a broken region, are an error row and no blank."""
+    from vellum.operators import rasters
+
+    image = np.eye(20, dtype=int)
+    good = page(20, 20) + segment(2, 38, u32(20, 20, 0, 0) + b"\0\1" + group4(image))
+    fact = dict.fromkeys(rasters._COLUMNS) | {"codec": "JBIG2Decode", "data": good, "globals": None, "decode": None}
+    assert rasters.pixels(fact)[:2] == (20, 20)
+    for bad in (segment(3, 22, u32(20, 20, 0, 0) + bytes(30)), segment(3, 6, u32(20, 20, 0, 0) + b"\0\0\1" + u32(1) + bytes(9))):
+        with pytest.raises(PdfError, match="segment 3 of type"):
+            rasters.pixels(fact | {"data": good + bad})
+        assert (bits(jbig2.decode(good + bad)) == image).all() and not jbig2.inspect(good + bad)["supported"]

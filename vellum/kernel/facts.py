@@ -65,7 +65,7 @@ def _int(file: File, d: dict, *keys: str) -> int:
 def raster(file: File, s: Stream, resources: dict) -> tuple[int, int, int, bytes]:
     """(width, height, components, samples) of an image in its own colour space, as gray or RGB. The space
     counts only where its components are those that the codec gives."""
-    from vellum.kernel import ccitt, color, jbig2, jpeg
+    from vellum.kernel import ccitt, color, jbig2, jpeg, jpx
 
     codec, parms, data = file.image_data(s)
     w, h, bits = _int(file, s.dict, "Width", "W"), _int(file, s.dict, "Height", "H"), _int(file, s.dict, "BitsPerComponent", "BPC") or 8
@@ -85,8 +85,15 @@ def raster(file: File, s: Stream, resources: dict) -> tuple[int, int, int, bytes
         bits = 1
     elif codec == "JBIG2Decode":
         g = parms.get("JBIG2Globals")
-        w, h, data = jbig2.decode(data, file.decoded(g) if isinstance(g, Stream) else None)
+        w, h, data, missing = jbig2.decode_page(data, file.decoded(g) if isinstance(g, Stream) else None)
+        if missing:
+            raise PdfError("JBIG2: " + "; ".join(missing))
         data, bits = bytes(255 - b for b in data), 1
+    elif codec == "JPXDecode":
+        w, h, n, data = jpx.decode(data)
+        if space is None or space.components != n:
+            return w, h, *jpx.plain(n, data)
+        bits = 8
     elif codec:
         raise PdfError(f"unsupported image codec {codec}")
     if mask or space is None:

@@ -1,6 +1,6 @@
-"""JBIG2 as PDF embeds it: generic regions (arithmetic and MMR), symbol dictionaries and text regions.
-Halftones, refinement and Huffman coding are reported by ``inspect`` and left out; a bad segment harms no
-other. Bitmaps are rows of 0 and 1, 1 for black."""
+"""JBIG2 as PDF embeds it: generic regions (arithmetic and MMR), symbol dictionaries, text regions and refinement
+of regions and of a text's symbols. Halftones, Huffman coding and dictionaries of refined symbols are not decoded;
+a bad segment harms no other, and ``decode_page`` tells what was left out. Bitmaps are rows of 0 and 1, 1 for black."""
 
 from __future__ import annotations
 
@@ -147,6 +147,51 @@ def generic(mq: Mq, contexts: list[int], width: int, height: int, template: int,
     return np.array(out, np.uint8).reshape(height, width)
 
 
+#: Pixels of the refinement templates: of the region that is made, and of the one that it refines. Adaptive ones
+#: come last in each part of the first template.
+_REFINE = [
+    ([(0, -1), (1, -1), (-1, 0)], [(0, -1), (1, -1), (-1, 0), (0, 0), (1, 0), (-1, 1), (0, 1), (1, 1)], 0x20),
+    ([(-1, -1), (0, -1), (1, -1), (-1, 0)], [(0, -1), (-1, 0), (0, 0), (1, 0), (0, 1), (1, 1)], 0x08),
+]
+
+
+def refinement(mq: Mq, contexts: list[int], width: int, height: int, template: int, base: np.ndarray, dx: int, dy: int, adaptive: list[tuple[int, int]], typical: bool = False) -> np.ndarray:
+    """A region that refines ``base``, which lies at (dx, dy) in it."""
+    if width * height > _MOST:
+        raise PdfError("region too large")
+    own, other, repeat = _REFINE[template]
+    if not template:
+        own, other = [*own, adaptive[0]], [*other, adaptive[1]]
+    far = 130
+    under = np.zeros((height + 2 * far, width + 2 * far), np.uint8)
+    y0, x0 = max(0, dy + far), max(0, dx + far)
+    part = base[y0 - dy - far : y0 - dy - far + under.shape[0] - y0, x0 - dx - far : x0 - dx - far + under.shape[1] - x0] if y0 < under.shape[0] and x0 < under.shape[1] else base[:0, :0]
+    under[y0 : y0 + part.shape[0], x0 : x0 + part.shape[1]] = part
+    below = under.tolist()
+    out = [[0] * (width + 2 * far) for _ in range(height + far)]
+    same = 0
+    for y in range(height):
+        row = out[y + far]
+        if typical:
+            same ^= mq.bit(contexts, repeat)
+        first = [(out[y + far + v], u + far) for u, v in own]
+        second = [(below[y + far + v], u + far) for u, v in other]
+        around = [below[y + far + v] for v in (-1, 0, 1)]
+        for x in range(width):
+            if same:
+                total = sum(r[x + far - 1] + r[x + far] + r[x + far + 1] for r in around)
+                if total in (0, 9):
+                    row[x + far] = total // 9
+                    continue
+            c = 0
+            for r, u in first:
+                c = c << 1 | r[x + u]
+            for r, u in second:
+                c = c << 1 | r[x + u]
+            row[x + far] = mq.bit(contexts, c)
+    return np.array([r[far : far + width] for r in out[far:]], np.uint8).reshape(height, width)
+
+
 def segments(data: bytes) -> list[dict]:
     """Headers and data of a sequence of segments; stops where they make no sense."""
     out, p = [], 0
@@ -181,6 +226,24 @@ class _Page:
     def __init__(self):
         self.bitmap = np.zeros((0, 0), np.uint8)
         self.symbols: dict[int, list[np.ndarray]] = {}
+        self.regions: dict[int, np.ndarray] = {}
+        #: Of a page whose height is told by its stripes only: the colour of new rows, and where it ends.
+        self.grows: int | None = None
+        self.end = 0
+
+    def finish(self) -> np.ndarray:
+        """The page; one of unknown height as high as its last stripe or its lowest region says."""
+        if self.grows is not None and self.end:
+            self.grow(self.end)
+            self.bitmap = self.bitmap[: self.end]
+        return self.bitmap
+
+    def grow(self, height: int) -> None:
+        h, w = self.bitmap.shape
+        if height > h:
+            if height * w > _MOST:
+                raise PdfError("page too large")
+            self.bitmap = np.concatenate([self.bitmap, np.full((height - h, w), self.grows or 0, np.uint8)])
 
     def put(self, b: np.ndarray, x: int, y: int, how: int, onto: np.ndarray | None = None) -> None:
         page = self.bitmap if onto is None else onto
@@ -196,17 +259,44 @@ class _Page:
         number = lambda p: int.from_bytes(d[p : p + 4], "big")
         if kind == 48:
             w, h = number(0), number(4)
-            h = min(h, 1 << 16) if h == 0xFFFFFFFF else h
+            if h == 0xFFFFFFFF:
+                h, self.grows = 0, d[16] >> 2 & 1
             if w * h > _MOST:
                 raise PdfError("page too large")
             self.bitmap = np.full((h, w), d[16] >> 2 & 1, np.uint8)
+        elif kind == 50:
+            self.end = max(self.end, number(0) + 1)
         elif kind == 0:
             self.symbols[s["number"]] = self._dictionary(d, [b for r in s["refers"] for b in self.symbols.get(r, [])])
         elif kind in (4, 6, 7, 36, 38, 39):
             w, h, x, y, how = number(0), number(4), number(8), number(12), d[16] & 7
-            if w * h > max(4 * self.bitmap.size, 1 << 12):
-                raise PdfError("region too large for its page")
-            self.put(self._generic(d[17:], w, h) if kind > 30 else self._text(d[17:], w, h, [b for r in s["refers"] for b in self.symbols.get(r, [])]), x, y, how)
+            self._room(w, h, y)
+            made = self._generic(d[17:], w, h) if kind > 30 else self._text(d[17:], w, h, [b for r in s["refers"] for b in self.symbols.get(r, [])])
+            if kind in (4, 36):  # kept for a refinement
+                self.regions[s["number"]] = made
+            else:
+                self.put(made, x, y, how)
+        elif kind in (40, 42, 43):
+            w, h, x, y, how = number(0), number(4), number(8), number(12), d[16] & 7
+            self._room(w, h, y)
+            template, typical = d[17] & 1, bool(d[17] & 2)
+            adaptive = [] if template else self._pairs(d, 18, 2)
+            known = [self.regions[r] for r in s["refers"] if r in self.regions]
+            base = known[0] if known else self.bitmap[y : y + h, x : x + w].copy()
+            made = refinement(Mq(d[18 + 2 * len(adaptive) :]), [0] * 8192, w, h, template, base, 0, 0, adaptive, typical)
+            if kind == 40:
+                self.regions[s["number"]] = made
+            else:
+                self.put(made, x, y, how if known else 4)
+        elif kind in (16, 20, 22, 23):
+            raise PdfError("unsupported halftone")
+
+    def _room(self, w: int, h: int, y: int) -> None:
+        """Checks a region's size, and makes room for it on a page that grows."""
+        if w * h > max(4 * self.bitmap.size, 1 << 12) and (self.grows is None or w * h > _MOST):
+            raise PdfError("region too large for its page")
+        if self.grows is not None and y + h <= 1 << 20:
+            self.grow(y + h)
 
     @staticmethod
     def _pairs(d: bytes, p: int, n: int) -> list[tuple[int, int]]:
@@ -262,10 +352,12 @@ class _Page:
             raise PdfError("unsupported text region")
         refine, strips, corner, across, how = flags & 2, 1 << (flags >> 2 & 3), flags >> 4 & 3, flags & 64, flags >> 7 & 3
         offset = (flags >> 10 & 31) - (32 if flags >> 14 & 1 else 0)
-        p = 2 + (4 if refine and not flags & 0x8000 else 0)
+        template = flags >> 15 & 1
+        adaptive = self._pairs(d, 2, 2) if refine and not template else []
+        p = 2 + 2 * len(adaptive)
         count = int.from_bytes(d[p : p + 4], "big")
         out = np.full((h, w), flags >> 9 & 1, np.uint8)
-        ints, bits = Integers(Mq(d[p + 4 :])), max(0, (len(symbols) - 1).bit_length()) if symbols else 0
+        ints, contexts, bits = Integers(Mq(d[p + 4 :])), [0] * 8192, max(0, (len(symbols) - 1).bit_length()) if symbols else 0
         t, first, done = -(ints.read("IADT") or 0) * strips, 0, 0
         while done < min(count, 1 << 22):
             t += (ints.read("IADT") or 0) * strips
@@ -274,10 +366,13 @@ class _Page:
             while True:
                 at = t + ((ints.read("IAIT") or 0) if strips > 1 else 0)
                 i = ints.symbol(bits)
+                b = symbols[i] if i < len(symbols) else None
                 if refine and ints.read("IARI"):
-                    raise PdfError("unsupported refinement")
-                if i < len(symbols):
-                    b = symbols[i]
+                    more_w, more_h, dx, dy = (ints.read(k) or 0 for k in ("IARDW", "IARDH", "IARDX", "IARDY"))
+                    if b is None or not 0 < b.shape[1] + more_w <= 1 << 14 or not 0 < b.shape[0] + more_h <= 1 << 14:
+                        raise PdfError("broken refinement")
+                    b = refinement(ints.mq, contexts, b.shape[1] + more_w, b.shape[0] + more_h, template, b, (more_w >> 1) + dx, (more_h >> 1) + dy, adaptive)
+                if b is not None:
                     bh, bw = b.shape
                     far = bh - 1 if across else bw - 1
                     if (corner in (0, 2)) if across else (corner in (2, 3)):
@@ -295,17 +390,22 @@ class _Page:
 
 
 def decode(data: bytes, globals_: bytes | None = None) -> tuple[int, int, bytes]:
-    """(width, height, packed bits), 1 for black."""
-    page = _Page()
+    """(width, height, packed bits), 1 for black, of all segments that can be decoded."""
+    return decode_page(data, globals_)[:3]
+
+
+def decode_page(data: bytes, globals_: bytes | None = None) -> tuple[int, int, bytes, list[str]]:
+    """The same, with what is missing from it: a line for each segment that was left out, and why."""
+    page, missing = _Page(), []
     for s in segments(globals_ or b"") + segments(data):
         try:
             page.segment(s)
-        except (PdfError, IndexError, ValueError, TypeError, OverflowError, MemoryError):
-            continue
-    h, w = page.bitmap.shape
+        except (PdfError, IndexError, ValueError, TypeError, OverflowError, MemoryError) as e:
+            missing.append(f"segment {s['number']} of type {s['type']}: {e or type(e).__name__}")
+    h, w = page.finish().shape
     if not h:
         raise PdfError("no JBIG2 page")
-    return w, h, np.packbits(page.bitmap, axis=1).tobytes()
+    return w, h, np.packbits(page.bitmap, axis=1).tobytes(), missing
 
 
 def inspect(data: bytes, globals_: bytes | None = None) -> dict:
@@ -313,6 +413,7 @@ def inspect(data: bytes, globals_: bytes | None = None) -> dict:
     found = segments(globals_ or b"") + segments(data)
     flags = lambda s, p: int.from_bytes(s["data"][p : p + 2], "big")
     huffman = any((s["type"] == 0 and flags(s, 0) & 1) or (s["type"] in (4, 6, 7) and flags(s, 17) & 1) for s in found)
-    refinement = any(s["type"] in (40, 42, 43) or (s["type"] == 0 and flags(s, 0) & 2) or (s["type"] in (4, 6, 7) and flags(s, 17) & 2) for s in found)
+    refined = any(s["type"] in (40, 42, 43) or (s["type"] in (4, 6, 7) and flags(s, 17) & 2) for s in found)
+    symbols = any(s["type"] == 0 and flags(s, 0) & 2 for s in found)
     halftone = any(s["type"] in (16, 20, 22, 23) for s in found)
-    return {"types": [s["type"] for s in found], "huffman": huffman, "refinement": refinement, "halftone": halftone, "supported": bool(found) and not (huffman or refinement or halftone)}
+    return {"types": [s["type"] for s in found], "huffman": huffman, "refinement": refined or symbols, "halftone": halftone, "supported": bool(found) and not (huffman or symbols or halftone)}

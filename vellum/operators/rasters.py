@@ -19,7 +19,7 @@ _COLUMNS = ["doc_id", "page", "ord", "name", "px_w", "px_h", "bits", "codec", "f
 
 def pixels(r: dict) -> tuple[int, int, int, bytes]:
     """(width, height, components, samples) of one xobject fact."""
-    from vellum.kernel import ccitt, color, jbig2, jpeg
+    from vellum.kernel import ccitt, color, jbig2, jpeg, jpx
     from vellum.kernel.objects import PdfError
 
     codec, data = r["codec"], r["data"] or b""
@@ -30,9 +30,14 @@ def pixels(r: dict) -> tuple[int, int, int, bytes]:
         n, out = color.to_rgb(packed, w, h, 1, 1, color.Space("DeviceGray", 1), r["decode"])
         return w, h, n, out
     if codec == "JBIG2Decode":
-        w, h, packed = jbig2.decode(data, r["globals"])
+        w, h, packed, missing = jbig2.decode_page(data, r["globals"])
+        if missing:
+            raise PdfError("JBIG2: " + "; ".join(missing))
         n, out = color.to_rgb(bytes(255 - b for b in packed), w, h, 1, 1, color.Space("DeviceGray", 1), r["decode"])
         return w, h, n, out
+    if codec == "JPXDecode":
+        w, h, n, out = jpx.decode(data)
+        return w, h, *jpx.plain(n, out)
     if codec:
         raise PdfError(f"unsupported image codec {codec}")
     n = {"DeviceGray": 1, "ImageMask": 1, "DeviceRGB": 3, "DeviceCMYK": 4}.get(r["family"] or "", (r["components"] or 0) if r["family"] == "ICCBased" else 0)
