@@ -7,47 +7,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vellum.llm import decontaminate, html, jaccard, licenses, neighbours, secrets, sentencepieces, substrings, tokenout, toxicity
-from vellum.session import table
+from vellum.session import spread, table
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.links(table(spark, sf_dir, "documents"))
+    return jaccard.links(spread(table(spark, sf_dir, "documents")))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    return secrets.scan(spread(table(spark, sf_dir, "documents")))
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract(table(spark, sf_dir, "pages"))
+    return html.extract(spread(table(spark, sf_dir, "pages")))
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepieces.encode(table(spark, sf_dir, "documents"))
+    return sentencepieces.encode(spread(table(spark, sf_dir, "documents")))
 
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenout.encode(table(spark, sf_dir, "documents"))
+    return tokenout.encode(spread(table(spark, sf_dir, "documents")))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.reject(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.reject(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.neighbours(table(spark, sf_dir, "embeddings"), every=neighbours.EVERY)
+    return neighbours.neighbours(spread(table(spark, sf_dir, "embeddings")), every=neighbours.EVERY)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.matches(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.repeats(table(spark, sf_dir, "documents"))
+    return substrings.repeats(spread(table(spark, sf_dir, "documents")))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(spread(table(spark, sf_dir, "documents")))
 
 
 _ALL = (

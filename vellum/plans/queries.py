@@ -254,11 +254,11 @@ def ledger_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Text: a conversation is a document, its turns are runs.
 
-_ASCII = "regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g')"
+_PLAIN = "coalesce(text, '')"
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", "")
+    t = F.coalesce("text", F.lit(""))
     return table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("doc_id"), F.lit(0).alias("page"), F.col("turn").alias("run_id"), t.alias("text"), ((F.col("turn") % 3) * 100).cast("double").alias("x"),
         (F.lit(100.0) - F.floor(F.col("turn") / 3) * 12).alias("y"), (F.least(F.length(t), F.lit(12)) * 8.3).alias("width"), F.lit(12.0).alias("font_size"), F.lit(0.25).alias("space_width_em"), "role",
@@ -266,7 +266,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH r AS (SELECT conv_id, turn, {_ASCII} AS t, (turn % 3) * 100.0::DOUBLE AS x, 100 - floor(turn / 3) * 12 AS y FROM conversations),
+WITH r AS (SELECT conv_id, turn, {_PLAIN} AS t, (turn % 3) * 100.0::DOUBLE AS x, 100 - floor(turn / 3) * 12 AS y FROM conversations),
 w AS (SELECT *, least(length(t), 12) * 8.3::DOUBLE AS width FROM r),
 p AS (SELECT *, lag(x + width) OVER o AS pr, lag(t) OVER o AS pt FROM w WINDOW o AS (PARTITION BY conv_id, y ORDER BY x, turn)),
 l AS (SELECT conv_id, y, string_agg(CASE WHEN pt IS NOT NULL AND NOT regexp_matches(pt, '\\s$') AND NOT regexp_matches(t, '^\\s') AND x - pr > 1.5 THEN ' ' ELSE '' END || t, '' ORDER BY x, turn) || chr(10) AS t FROM p GROUP BY conv_id, y)
@@ -277,7 +277,7 @@ def plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH t AS (SELECT conv_id AS doc_id, 't' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS id, 'text' AS kind, {_ASCII} AS value, 0 AS page FROM conversations),
+WITH t AS (SELECT conv_id AS doc_id, 't' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS id, 'text' AS kind, {_PLAIN} AS value, 0 AS page FROM conversations),
 f AS (SELECT doc_id, 'f' || (row_number() OVER (PARTITION BY doc_id ORDER BY quality, toxic) - 1) AS id, CASE WHEN toxic = 1 THEN 'checkbox' ELSE 'field' END AS kind, CASE WHEN toxic = 1 THEN CASE WHEN quality = 1 THEN 'true' ELSE 'false' END ELSE 'q' END AS value, -1 AS page FROM labels WHERE toxic = 1 OR quality = 1)
 SELECT * FROM t UNION ALL SELECT * FROM f
 """)
@@ -298,7 +298,7 @@ def first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 # OCR samples: each document's text in lines of 20 words, all of them; a noisy copy of a line is what was read.
 
 _SAMPLE = """
-WITH a AS (SELECT doc_id, lang, list_filter(string_split(regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g'), ' '), lambda x: x <> '') AS ws FROM documents),
+WITH a AS (SELECT doc_id, lang, list_filter(string_split(regexp_replace(coalesce(text, ''), '[\\x00-\\x1F]', '', 'g'), ' '), lambda x: x <> '') AS ws FROM documents),
 s AS (SELECT doc_id, i AS line, lang AS language, array_to_string(list_slice(ws, i * 20 + 1, i * 20 + 20), ' ') AS reference, (doc_id + i) % 100 / 100.0::DOUBLE AS confidence FROM (SELECT *, unnest(range(0, (len(ws) + 19) // 20)) AS i FROM a)),
 h AS (SELECT *, translate(reference, 'aeo', '4c0') AS hypothesis FROM s),
 m AS (SELECT *, levenshtein(reference, hypothesis) AS ce, length(reference) AS cn, list_filter(string_split(reference, ' '), lambda x: x <> '') AS rw, list_filter(string_split(hypothesis, ' '), lambda x: x <> '') AS hw FROM h),
@@ -309,7 +309,7 @@ z AS (SELECT *, CASE WHEN cn = 0 THEN CASE WHEN ce = 0 THEN 0.0 ELSE 1.0 END ELS
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", "")
+    t = F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x00-\\x1F]", "")
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     d = d.select("doc_id", F.col("lang").alias("language"), F.filter(F.split(t, " "), lambda w: w != "").alias("ws")).where(F.size("ws") > 0)
     # Each line leaves with its own words only.
