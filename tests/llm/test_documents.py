@@ -149,6 +149,23 @@ def test_jaccard_join_of_large_families(spark, probes):
     want = all_pairs(dict(enumerate(texts)))
     assert len([1 for _, b, j in want if b < 300 and 0.6 <= j < 0.8]) > 20_000 and len([1 for a, _, _ in want if a >= 300]) == 40
     assert found_pairs(frame(spark, texts), probes=probes) == want
+    assert found_pairs(frame(spark, texts), probes=probes, long=40, rate=2) == want
+
+
+def test_jaccard_shares_of_a_long_list_meet_once():
+    """Every two entries of a list that is cut are together in one bucket, once, and no share is the whole list."""
+    r = np.random.RandomState(4)
+    keys, ids = np.repeat(np.array([7, 9], np.uint64), [500, 20]), np.concatenate([np.arange(500), np.arange(20)]).astype(np.int64)
+    k, d, s, p = jaccard._cut(keys, ids, np.full(520, 50, np.uint32), r.randint(0, 9, 520).astype(np.uint32), np.array([7], np.uint64), np.array([6]))
+    met = defaultdict(int)
+    for x in np.unique(k):
+        at = np.flatnonzero(k == x)
+        assert len(at) < 250
+        for i in at:
+            for j in at:
+                if d[i] < d[j] and (p[i] >> 30 != p[j] >> 30 or p[i] >> 30 == 2):
+                    met[x == 9, d[i], d[j]] += 1
+    assert len(met) == 500 * 499 // 2 + 20 * 19 // 2 and set(met.values()) == {1}
 
 
 def test_jaccard_answers_by_difference():
