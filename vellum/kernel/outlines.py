@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+from vellum.kernel.hinting import Fault, Machine
 from vellum.kernel.objects import PdfError
 
 Contours = list[list[tuple]]
@@ -27,6 +28,9 @@ class Glyph:
     contours: Contours = field(default_factory=list)
     advance: float = 0.0
 
+    def scaled(self, by: float) -> Glyph:
+        return Glyph([[tuple((x * by, y * by) for x, y in s) for s in c] for c in self.contours], float(round(self.advance * by)))
+
 
 def _u16(d: bytes, p: int) -> int:
     return int.from_bytes(d[p : p + 2], "big")
@@ -93,6 +97,9 @@ class TrueType:
         self.loca = (np.frombuffer(raw, ">u4") if size == 4 else np.frombuffer(raw, ">u2").astype(np.int64) * 2).tolist()
         self.glyf, self.hmtx, self.wide = t["glyf"], t.get("hmtx", b""), _u16(t["hhea"], 34) if len(t.get("hhea", b"")) >= 36 else 0
         self.codes = cmap(t["cmap"]) if "cmap" in t else {}
+        cvt, most = t.get("cvt ", b""), t["maxp"]
+        self.hints = {"cvt": [_s16(cvt, i) for i in range(0, len(cvt) - 1, 2)], "font": t.get("fpgm", b""), "size": t.get("prep", b""), "twilight": _u16(most, 16), "storage": _u16(most, 18), "stack": _u16(most, 24)}
+        self.machine: tuple[int, Machine | None] = (0, None)
 
     def advance(self, g: int) -> float:
         return float(_u16(self.hmtx, 4 * min(g, self.wide - 1))) if self.wide else 0.0
@@ -109,10 +116,12 @@ class TrueType:
         n = _s16(d, 0)
         return self._composite(d, depth) if n < 0 else self._simple(d, n)
 
-    def _simple(self, d: bytes, n: int) -> Contours:
+    def _points(self, d: bytes, n: int) -> tuple[list[tuple[float, float, bool]], list[int], bytes]:
+        """The points of a simple glyph, the last of each contour, and its instructions."""
         ends = [_u16(d, 10 + 2 * i) for i in range(n)]
         total = ends[-1] + 1 if ends else 0
         p = 10 + 2 * n
+        program = d[p + 2 : p + 2 + _u16(d, p)]
         p += 2 + _u16(d, p)
         flags: list[int] = []
         while len(flags) < total and p < len(d):
@@ -134,12 +143,31 @@ class TrueType:
                     p += 2
                 out.append(v)
             axes.append(out)
-        points = [(float(x), float(y), bool(f & 1)) for x, y, f in zip(*axes, flags)]
-        out, start = [], 0
-        for e in ends:
-            out.append(quadratic(points[start : e + 1]))
-            start = e + 1
-        return [c for c in out if c]
+        return [(float(x), float(y), bool(f & 1)) for x, y, f in zip(*axes, flags)], ends, program
+
+    def _simple(self, d: bytes, n: int) -> Contours:
+        points, ends, _ = self._points(d, n)
+        return _closed(points, ends)
+
+    def hinted(self, g: int, ppem: int) -> Glyph:
+        """A simple glyph fitted to the grid at so many pixels to the em, in 64ths of a pixel. Composite glyphs, fonts
+        without instructions and programs at fault give the scaled outline."""
+        d = self.glyf[self.loca[g] : self.loca[g + 1]] if 0 <= g < len(self.loca) - 1 else b""
+        if len(d) >= 10 and _s16(d, 0) >= 0 and (self.hints["font"] or self.hints["size"]):
+            points, ends, program = self._points(d, _s16(d, 0))
+            try:
+                if self.machine[0] != ppem:
+                    self.machine = (ppem, None)
+                    self.machine = (ppem, Machine(self.units, ppem, **self.hints))
+                if self.machine[1] is not None:
+                    now, on = self.machine[1].fit([(int(x), int(y)) for x, y, _ in points], [c for *_, c in points], ends, self.bearing(g), int(self.advance(g)), program)
+                    return Glyph(_closed([(float(x), float(y), c) for (x, y), c in zip(now, on)], ends), float(round(self.advance(g) * ppem * 64 / self.units)))
+            except Fault:
+                pass
+        return self.glyph(g).scaled(ppem * 64 / self.units)
+
+    def bearing(self, g: int) -> int:
+        return _s16(self.hmtx, 4 * g + 2 if g < self.wide else 4 * self.wide + 2 * (g - self.wide))
 
     def _composite(self, d: bytes, depth: int) -> Contours:
         p, out, more = 10, [], True
@@ -167,6 +195,10 @@ class TrueType:
         return out
 
 
+def _closed(points: list[tuple[float, float, bool]], ends: list[int]) -> Contours:
+    return [c for a, e in zip([-1, *ends], ends) if (c := quadratic(points[a + 1 : e + 1]))]
+
+
 def quadratic(points: list[tuple[float, float, bool]]) -> list[tuple]:
     """A closed contour of on- and off-curve points; between two that are off lies one that is on."""
     if len(points) < 2:
@@ -628,6 +660,12 @@ class Program:
     def glyph(self, g) -> Glyph:
         return self.font.glyph(g)
 
+    def hinted(self, g, ppem: int) -> Glyph:
+        """A glyph in 64ths of a pixel, fitted to the grid if its program can do that."""
+        if ppem <= 0:
+            return Glyph()
+        return self.font.hinted(g, ppem) if self.kind == "TrueType" else self.glyph(g).scaled(ppem * 64 / self.units)
+
     def by_code(self, code: int) -> Glyph:
         g = self.font.codes.get(code)
         return Glyph() if g is None else self.font.glyph(g)

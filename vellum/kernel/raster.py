@@ -98,6 +98,8 @@ def fill(polygons: list[list[tuple[float, float]]]) -> Bitmap:
     return Bitmap(w, h, left, high, np.floor(np.clip(acc[:, :w] / SUB, 0, 1) * 255 + 0.5).astype(np.uint8).tobytes())
 
 
-def render(program: Program, glyph, size: float) -> Bitmap:
-    """A glyph at ``size`` pixels to the em, unhinted."""
+def render(program: Program, glyph, size: float, hinted: bool = False) -> Bitmap:
+    """A glyph at ``size`` pixels to the em; ``hinted`` fits it to the grid of the nearest whole size."""
+    if hinted and size > 0:
+        return fill(flatten(program.hinted(glyph, max(1, round(size))).contours, 1 / 64))
     return fill(flatten(program.glyph(glyph).contours, size / program.units))
