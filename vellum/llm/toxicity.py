@@ -11,7 +11,7 @@ The two-class softmax depends on the difference of its two rows only, and the mo
 n-grams. So a word's share is a number, worked out once for each distinct word of a batch.
 
 Bound of the sample: at most ``SAMPLE`` labelled documents of each class train, those with the least hash
-of doc_id. An n-gram takes part if it is in a 150th as many labelled texts as the smaller class has, in 2 at
+of doc_id; of a doc_id in several rows, with its least text. An n-gram takes part if it is in a 150th as many labelled texts as the smaller class has, in 2 at
 least and 10 at most. All documents are scored, whole; those of a score above ``THRESHOLD`` are toxic.
 
 Defined results: null and empty texts, and texts without words, are not toxic (score 0.0 and no row among
@@ -256,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         part = marked.where(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "_y").orderBy("doc_id", "text").collect()
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_y").agg(F.min("text").alias("text")).orderBy("doc_id").select("text", "_y").collect()
     return train([r[0] for r in rows], [r[1] for r in rows])
 
 
