@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import struct
+from functools import lru_cache
 
 import numpy as np
 
@@ -47,6 +49,9 @@ def _tables() -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
 _BOX, _INVERSE, _TIMES = _tables()
 _SHIFT = np.array([0, 5, 10, 15, 4, 9, 14, 3, 8, 13, 2, 7, 12, 1, 6, 11])
 _BACK = np.argsort(_SHIFT)
+_LIST = _BOX.tolist()
+#: What a byte of each row gives to its column after substitution and mixing.
+_COLUMNS = [[(b2 << 24 | v << 16 | v << 8 | b3) >> 8 * i | ((b2 << 24 | v << 16 | v << 8 | b3) << 32 - 8 * i & 0xFFFFFFFF) for v, b2, b3 in zip(_LIST, _TIMES[2][_BOX].tolist(), _TIMES[3][_BOX].tolist())] for i in range(4)]
 _RING = [np.array([4 * c + (r + k) % 4 for c in range(4) for r in range(4)]) for k in range(4)]
 
 
@@ -95,23 +100,26 @@ def aes_cbc_decrypt(key: bytes, iv: bytes, data: bytes) -> bytes:
 
 
 def aes_cbc_encrypt(key: bytes, iv: bytes, data: bytes) -> bytes:
-    """Without padding, for hash 2.B. Block by block on Python ints in tables."""
-    k = [row.tolist() for row in _expand(key)]
-    box, two, three = _BOX.tolist(), _TIMES[2].tolist(), _TIMES[3].tolist()
-    shift, out, last = _SHIFT.tolist(), bytearray(), iv
-    rounds = len(k) - 1
-    for p in range(0, len(data), 16):
-        s = [a ^ b ^ c for a, b, c in zip(data[p : p + 16], last, k[0])]
-        for r in range(1, rounds):
-            s = [box[s[i]] for i in shift]
-            kr, n = k[r], []
-            for c in (0, 4, 8, 12):
-                a, b, d, e = s[c : c + 4]
-                n += [two[a] ^ three[b] ^ d ^ e ^ kr[c], a ^ two[b] ^ three[d] ^ e ^ kr[c + 1], a ^ b ^ two[d] ^ three[e] ^ kr[c + 2], three[a] ^ b ^ d ^ two[e] ^ kr[c + 3]]
-            s = n
-        last = bytes(box[s[i]] ^ x for i, x in zip(shift, k[rounds]))
-        out += last
-    return bytes(out)
+    """Without padding, for hash 2.B. Block by block, a round by tables of whole columns."""
+    k = [struct.unpack(">4I", row.tobytes()) for row in _expand(key)]
+    (t0, t1, t2, t3), box = _COLUMNS, _LIST
+    inner, (z0, z1, z2, z3), out = k[1:-1], k[-1], []
+    p, q, r, s = (x ^ y for x, y in zip(struct.unpack(">4I", iv), k[0]))
+    k0, k1, k2, k3 = k[0]
+    for w0, w1, w2, w3 in struct.iter_unpack(">4I", data[: len(data) // 16 * 16]):
+        a, b, c, d = p ^ w0, q ^ w1, r ^ w2, s ^ w3
+        for x0, x1, x2, x3 in inner:
+            a, b, c, d = (
+                t0[a >> 24] ^ t1[b >> 16 & 255] ^ t2[c >> 8 & 255] ^ t3[d & 255] ^ x0, t0[b >> 24] ^ t1[c >> 16 & 255] ^ t2[d >> 8 & 255] ^ t3[a & 255] ^ x1,
+                t0[c >> 24] ^ t1[d >> 16 & 255] ^ t2[a >> 8 & 255] ^ t3[b & 255] ^ x2, t0[d >> 24] ^ t1[a >> 16 & 255] ^ t2[b >> 8 & 255] ^ t3[c & 255] ^ x3,
+            )
+        e = (box[a >> 24] << 24 | box[b >> 16 & 255] << 16 | box[c >> 8 & 255] << 8 | box[d & 255]) ^ z0
+        f = (box[b >> 24] << 24 | box[c >> 16 & 255] << 16 | box[d >> 8 & 255] << 8 | box[a & 255]) ^ z1
+        g = (box[c >> 24] << 24 | box[d >> 16 & 255] << 16 | box[a >> 8 & 255] << 8 | box[b & 255]) ^ z2
+        h = (box[d >> 24] << 24 | box[a >> 16 & 255] << 16 | box[b >> 8 & 255] << 8 | box[c & 255]) ^ z3
+        out += e, f, g, h
+        p, q, r, s = e ^ k0, f ^ k1, g ^ k2, h ^ k3
+    return struct.pack(f">{len(out)}I", *out)
 
 
 def aes_unwrap(key: bytes, data: bytes) -> bytes:
@@ -123,6 +131,7 @@ def aes_unwrap(key: bytes, data: bytes) -> bytes:
     return out[:-n] if 1 <= n <= 16 and out[-n:] == bytes([n]) * n else b""
 
 
+@lru_cache(64)  # copies of a file have its salts
 def hash_2b(password: bytes, salt: bytes, user: bytes, revision: int) -> bytes:
     k = hashlib.sha256(password + salt + user).digest()
     if revision < 6:
