@@ -9,6 +9,7 @@ from vellum.functions import scalars as S
 from vellum.operators import corpus, documents, ocr, pages, text
 from vellum.operators.record import Facts, to_json
 from vellum.plans import batch
+from vellum.sources import pdf
 from vellum.sources.synthesize import text_pdf
 from vellum.streaming import incremental
 
@@ -102,6 +103,11 @@ def folder(tmp_path):
     return tmp_path
 
 
+def test_listing_is_in_order_of_paths(spark, folder):
+    got = [r.path.rsplit("/in/", 1)[1] for r in pdf.listing(spark, str(folder / "in")).collect()]
+    assert got == ["bad.pdf", "doc1.pdf", "sub/doc2.pdf"]
+
+
 def test_batch_run_and_resume(spark, folder):
     o = batch.Options(str(folder / "in"), str(folder / "out"))
     a = batch.run(spark, o).collect()[0]

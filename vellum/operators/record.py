@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, StructType
@@ -16,9 +18,19 @@ _BOX = "struct<x:double,y:double,width:double,height:double>"
 
 
 def listed(rows: DataFrame, order: str, fields: dict[str, Column], name: str) -> DataFrame:
-    """(doc_id, name): an array of structs in order."""
-    s = F.struct(F.col(order).alias("_o"), F.struct(*(c.alias(k) for k, c in fields.items())).alias("_s"))
-    return rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(s)), lambda x: x["_s"]).alias(name))
+    """(doc_id, name): a row's fields as a struct, with what it is sorted by."""
+    return rows.select("doc_id", F.struct(F.col(order).alias("_o"), F.struct(*(c.alias(k) for k, c in fields.items())).alias("_s")).alias(name))
+
+
+def in_order(name: str) -> Column:
+    """The structs of ``listed`` rows as an array."""
+    return F.transform(F.array_sort(F.collect_list(name)), lambda x: x["_s"]).alias(name)
+
+
+def together(*parts: DataFrame) -> DataFrame:
+    """All rows, each with nulls in the other parts' columns: one grouping by doc_id puts a document together, where
+    joins of tables that are grouped each by itself would shuffle every one."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 class Facts:
@@ -56,16 +68,16 @@ class Facts:
         area = images.largest_area_fraction(self.images, self.pages)
         gone = self.rejected.select("doc_id", "reason", F.lit(None).cast("string").alias("error"))
         d = self.documents.withColumn("reason", F.when(c("error").isNotNull(), rejection_reason(c("error")))).unionByName(gone, allowMissingColumns=True)
-        for part in (img, run, field, cover, page, area):
-            d = d.join(part, "doc_id", "left")
-        empty = lambda k, df: F.coalesce(c(k), F.array().cast(df.schema[k].dataType)).alias(k)
+        rows = together(img, run, field, cover, page, area, d.select("doc_id", F.struct(*(k for k in d.columns if k != "doc_id")).alias("_d")))
+        rows = rows.groupBy("doc_id").agg(*map(in_order, ("images", "textRuns", "fields", "coverage", "pages")), F.max("image_area_fraction").alias("image_area_fraction"), F.collect_list("_d").alias("_d"))
+        d = rows.select("*", F.explode("_d").alias("_e")).select("*", "_e.*")
         no = lambda k: F.coalesce(c(k), F.lit(False))
         record = F.struct(
             F.lit(SCHEMA_VERSION).alias("schemaVersion"), F.when(c("reason").isNull(), "Processed").otherwise("Rejected").alias("status"),
             F.when(c("reason").isNotNull(), F.struct(c("reason"), c("error").alias("detail"))).alias("rejection"), F.coalesce("page_count", F.lit(0)).alias("pageCount"),
             F.coalesce("image_area_fraction", F.lit(0.0)).alias("imageAreaFraction"),
             F.struct(no("is_encrypted").alias("isEncrypted"), F.coalesce("handler_supported", F.lit(True)).alias("handlerSupported"), algorithm_name(F.coalesce("algorithm", F.lit("None"))).alias("algorithm"), F.coalesce("revision", F.lit(0)).alias("revision"), F.coalesce("authentication", F.lit("NotRequired")).alias("authentication"), (no("is_encrypted") & no("metadata_encrypted")).alias("metadataEncrypted"), F.coalesce("permissions", F.lit(0)).alias("permissions")).alias("security"),
-            empty("images", img), empty("textRuns", run), F.struct(no("has_acro_form").alias("hasAcroForm"), no("has_xfa").alias("hasXfa"), empty("fields", field)).alias("form"), empty("coverage", cover), empty("pages", page),
+            "images", "textRuns", F.struct(no("has_acro_form").alias("hasAcroForm"), no("has_xfa").alias("hasXfa"), "fields").alias("form"), "coverage", "pages",
         )
         return d.select("doc_id", record.alias("record"))
 
@@ -73,14 +85,18 @@ class Facts:
         """The ledger's row of each document, without its hashes."""
         c = F.col
         seen = ~c("is_ocr_layer")
-        run = self.runs.groupBy("doc_id").agg(F.sum(F.when(seen, F.length(F.encode("text", "UTF-16BE")) / 2).otherwise(0)).alias("chars"), F.bool_or("is_ocr_layer").alias("ocr"))
-        img = self.images.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("below_threshold").alias("below_threshold_count"), F.transform(F.array_sort(F.collect_list(F.when(c("effective_dpi") > 0, F.struct("ord", "effective_dpi")))), lambda s: s["effective_dpi"]).alias("effective_dpis"))
-        field = self.fields.groupBy("doc_id").agg(F.count("*").alias("fields"))
+        run = self.runs.select("doc_id", F.when(seen, F.length(F.encode("text", "UTF-16BE")) / 2).otherwise(0).alias("chars"), c("is_ocr_layer").alias("ocr"))
+        img = self.images.select("doc_id", F.lit(1).alias("n"), "below_threshold", F.when(c("effective_dpi") > 0, F.struct("ord", "effective_dpi")).alias("dpi"))
+        field = self.fields.select("doc_id", F.lit(1).alias("field"))
         area = images.largest_area_fraction(self.images, self.pages)
         d = self.documents.withColumn("rejection", F.when(c("error").isNotNull(), rejection_reason(c("error"))))
         d = d.unionByName(self.rejected.withColumnRenamed("reason", "rejection"), allowMissingColumns=True)
-        for part in (run, img, field, area):
-            d = d.join(part, "doc_id", "left")
+        rows = together(run, img, field, area, d.select("doc_id", F.struct(*(k for k in d.columns if k != "doc_id")).alias("_d")))
+        rows = rows.groupBy("doc_id").agg(
+            F.sum("chars").alias("chars"), F.bool_or("ocr").alias("ocr"), F.count("n").alias("n"), F.count_if("below_threshold").alias("below_threshold_count"), F.transform(F.array_sort(F.collect_list("dpi")), lambda s: s["effective_dpi"]).alias("effective_dpis"),
+            F.count("field").alias("fields"), F.max("image_area_fraction").alias("image_area_fraction"), F.collect_list("_d").alias("_d"),
+        )
+        d = rows.select("*", F.explode("_d").alias("_e")).select("*", "_e.*")
         zero, no, bad = F.lit(0), (lambda k: F.coalesce(c(k), F.lit(False))), c("rejection").isNotNull()
         unreadable = no("is_encrypted") & (c("authentication") == "Failed")
         unreadable = F.coalesce(unreadable, F.lit(False))

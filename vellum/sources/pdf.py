@@ -30,11 +30,16 @@ FACTS = "doc_id string, kind string, " + ", ".join(f"{k} struct<{', '.join(f'`{n
 _HELD = 5_000
 
 
-def files(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+def files(spark: SparkSession, path: str) -> DataFrame:
     """All *.pdf below a folder, or one file: path, modificationTime, length, content."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path)
 
 
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """The files in order of their paths' code points, without reading them."""
+    return files(spark, path).select("path", "modificationTime", "length").orderBy("path")
+
+
 def stream(spark: SparkSession, path: str) -> DataFrame:
     """The same as a stream of new files."""
     return spark.readStream.format("binaryFile").schema(BINARY).option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path)
