@@ -6,27 +6,29 @@ many other sets are alike. ``pairs`` has the pairs themselves. The steps:
 
 1. Equal sets are one set, for which the document with the least doc_id stands; the others are its copies.
    Copies are counted, never gathered, and meet their set's answers in a join that broadcasts the few largest.
-2. A set with a partner has at least THRESHOLD of its trigrams in some other document. Each set's trigrams
-   below a hash bound (all of a small set's, at least ``PROBES`` of a large one's) are shuffled by hash and
-   counted, those that two documents of one task have by the task itself; sets of which fewer than ``SHARE`` are shared have no partner and go. ``PROBES`` = None tests
-   all trigrams, against THRESHOLD, and the join is exact; else a set with a partner goes wrongly with a
-   probability of less than 1e-4, if it has just THRESHOLD of its trigrams in common (a binomial tail of 3.9
-   deviations), and of less than 1e-9 for sets of equal size.
-3. Prefix index of the sets left: trigrams are ordered from rare to frequent, by counts over all documents
-   in a table of ``COUNTERS`` counters, then by hash. The first |x| - ceil(t |x|) + 1 of each set go into
-   index lists, shuffled by trigram. A list is in order of set size, in blocks; a block is skipped as a
-   whole if its sizes are out of range, and entries by position: what is left of either set after the
-   trigram bounds the overlap. A list of more than ``LONG`` entries is cut into shares by the hash of the ids,
-   and each two shares meet in a bucket of their own, so that no task has a whole one; which lists are that
-   long is told from the sets of one of ``RATE`` ids, and nothing but the way they are cut depends on it.
-4. Each list gives the pairs that it has; their counts are added up, and a pair stays only if its common
-   prefix and all that may follow can reach the threshold.
+2. A set with a partner has at least THRESHOLD of its trigrams in some other set. All trigrams of all different
+   sets are shuffled and counted, those that two sets of one task have by the task itself; sets of which fewer are
+   shared have no partner and go. Nothing is sampled. The texts of those left are read again, through a filter of
+   ``MARKS`` bits.
+3. Prefix index of the sets left: trigrams are ordered from rare to frequent, by counts over all documents in a
+   table of ``COUNTERS`` counters, then by hash. The first |x| - ceil(t |x|) + 1 of each set go into index lists,
+   shuffled by trigram, under the set's digest. A list is in order of set size, in blocks; a block is skipped as a
+   whole if its sizes are out of range, and entries by position: what is left of either set after the trigram
+   bounds the overlap. A list of more than ``HOT`` sets makes no pairs there. Its entries meet again with all such
+   lists of their sets, and each pair comes from the first list that both are in: rows and memory follow the pairs,
+   not pairs times trigrams. Lists of more than ``CUT`` sets are cut into shares by the hash of the ids, and each
+   two shares meet in a bucket of their own. Trigrams whose counter is above ``LONG`` may be in very many sets;
+   their entries are never together before they are cut.
+4. The counts of a pair are added up, and it stays only if its common prefix and all that may follow can reach
+   the threshold.
 5. Pairs come together with their sets, by the least neighbour of their first set: a family of similar sets
    is in one place. One set of it, the pivot, is compared with all others; the answers of each other set
    follow from the pivot's and from what it has more and less than the pivot, without reading whole sets:
-   |x & y| = |p| - |p-x| - |p-y| + |(p-x) & (p-y)| + |(x-p) & (y-p)|.
+   |x & y| = |p| - |p-x| - |p-y| + |(p-x) & (p-y)| + |(x-p) & (y-p)|. For ``links`` a task returns a row for each
+   set, with its number of links and another set of its component, not the pairs.
 
-Sets are compared by 64-bit hashes of their trigrams. A text of one or two words is one shingle.
+Sets are compared by 64-bit hashes of their trigrams. A text of one or two words is one shingle. With ``probes``
+step 2 takes a sample of the trigrams and loses a pair with a probability of less than 1e-4; no query does so.
 
 6. Classes are the connected components of the pairs, by alternating stars; copies have their set's class.
 
@@ -52,15 +54,18 @@ from vellum.session import free_name, ship, written
 
 SHINGLE = 3
 THRESHOLD = Fraction(3, 5)
-PROBES: int | None = 64
+PROBES: int | None = None
 SHARE = 0.36
 COUNTERS = 1 << 20
 BLOCK = 64
 #: Sets of a family that one task compares at most, and the trigrams of these; larger families are cut into blocks
 #: of this many.
 FAMILY, GRAMS = 1024, 4 << 20
-#: Entries of an index list that stay together, and the share of ids that tells longer ones.
-LONG, RATE = 200_000, 200
+#: Entries that an index list may have in one task; sets of a list from which its pairs are made once for all such
+#: lists; the sets that these have in one task; pairs that a task counts at a time; and sets compared at a time.
+LONG, HOT, CUT, HELD, _STEP = 200_000, 128, 4096, 4_000_000, 512
+#: Bits of the filter in front of the texts' shuffle.
+MARKS = 1 << 24
 _CHUNK = 1 << 20
 #: Entries that one bucket of a shuffle is expected to hold, whatever the cluster's number of partitions.
 BUCKET = 2_000_000
@@ -132,15 +137,15 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "counts"])
 
 
-def _classes(parts: DataFrame) -> np.ndarray:
-    """Each counter's frequency as a class of 0 to 255: 0 up to twice the mean, then by its logarithm."""
+def _classes(parts: DataFrame) -> tuple[np.ndarray, float]:
+    """(each counter's frequency as a class of 0 to 255, base): class c is of up to base 2^(c / 8)."""
     table = np.zeros((64, COUNTERS // 64), np.float64)
     rows = parts.where("part IS NOT NULL").select("part", "counts").repartitionById(64, F.col("part")).mapInArrow(_add, "part int, counts binary").collect()
     for r in rows:  # 64 rows, whatever the corpus
         table[r[0]] = np.frombuffer(r[1], np.uint64)
     table = table.reshape(-1)
     base = max(table.mean() * 1.5, 2.0)
-    return np.clip(np.ceil(np.log2(np.maximum(table, 1) / base) * 8), 0, 255).astype(np.uint8)
+    return np.clip(np.ceil(np.log2(np.maximum(table, 1) / base) * 8), 0, 255).astype(np.uint8), base
 
 
 def _bounds(size: np.ndarray, probes: int) -> np.ndarray:
@@ -182,18 +187,25 @@ def _probes(probes: int | None, n: int):
         k[edge[both]] = _KNOWN
         go = ~inside
         go[edge[both]] = True
+        go = np.flatnonzero(go)[np.argsort(order[go])]  # set by set again, so that ids compress
         names = _PROBE.replace(" binary", "").replace("bucket int, ", "").split(", ")
-        yield blobs.scatter(blobs.buckets_of(h[go], n), [h[go], d[go], k[go], None], names)
+        yield blobs.scatter(blobs.buckets_of(h[go], n), [(mix(h[go]) >> np.uint64(32)).astype(np.uint32), d[go], k[go], None], names)
         if len(docs):
             yield blobs.scatter(blobs.buckets_of(mix(docs.view(np.uint64)), n), [None, docs, None, count.astype(np.int32)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        box = blobs.Outbox(n)
+        box, seen = blobs.Outbox(n), set()
         for batch in batches:
             for part in chunks(batch, "text", _CHUNK):
-                ids, grams, offsets = _sets(part)
-                size = np.diff(offsets)
+                _, grams, offsets = _sets(part)
+                ids, size = _digest(grams, offsets)[0], np.diff(offsets)
+                new = np.zeros(len(ids), bool)
+                new[np.unique(ids, return_index=True)[1]] = True
+                new &= np.array([x not in seen for x in ids.tolist()], bool)
+                seen = set() if len(seen) > 500_000 else seen
+                seen.update(ids[new].tolist())
                 tested, given = _chosen(probes, grams, size)
+                given &= np.repeat(new, size)
                 if box.add(grams[given], np.repeat(ids, size)[given], tested[given].astype(np.uint8)):
                     yield from send(*box.take())
         if (last := box.take()) is not None:
@@ -203,9 +215,10 @@ def _probes(probes: int | None, n: int):
 
 
 def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, shared): how many of the document's tested trigrams in this partition another one has too."""
+    """(doc_id, shared): how many of the tested trigrams in this partition of a set, by its digest, another one has
+    too. Of a hash 32 bits beside the bucket are compared: two that seem equal keep a set, and lose none."""
     parts = list(batches)
-    h, k = blobs.joined(parts, "hashes", np.uint64), blobs.joined(parts, "kinds", np.uint8)
+    h, k = blobs.joined(parts, "hashes", np.uint32), blobs.joined(parts, "kinds", np.uint8)
     counted = [i for b in parts for i, c in zip(blobs.arrays(b.column("ids"), np.int64), b.column("shared")) if c.is_valid]
     count = blobs.joined(parts, "shared", np.int32)
     d = np.concatenate([*(i for b in parts for i, c in zip(blobs.arrays(b.column("ids"), np.int64), b.column("shared")) if not c.is_valid), np.zeros(0, np.int64)])
@@ -223,19 +236,19 @@ def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _set_rows(classes):
-    """(doc_id, n, keys): the set in its global order, as sorted keys: class of frequency, then hash."""
+    """(doc_id, n, keys): the set in its global order, as sorted keys: class of frequency, then hash. It goes by
+    its digest in place of a doc_id. Of a doc_id with several texts only the one whose set counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text", _CHUNK):
-                ids, grams, offsets = _sets(part)
-                # Of a doc_id with several texts only the one whose set counts.
-                own = [x == part.column(c).to_numpy() for x, c in zip(_digest(grams, offsets), ("a", "b"))]
-                keep = np.flatnonzero(own[0] & own[1])
+                _, grams, offsets = _sets(part)
+                a, b = _digest(grams, offsets)
+                keep = np.flatnonzero((a == part.column("a").to_numpy()) & (b == part.column("b").to_numpy()))
                 k = classes.value[(grams & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64)
                 keys = (k << np.uint64(56)) | (mix(grams) >> np.uint64(8))
                 rows = [np.sort(keys[offsets[i] : offsets[i + 1]]).tobytes() for i in keep.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(np.diff(offsets)[keep].astype(np.int64)), pa.array(rows, pa.binary())], ["doc_id", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(np.diff(offsets)[keep].astype(np.int64)), pa.array(rows, pa.binary())], ["doc_id", "n", "keys"])
 
     return run
 
@@ -256,24 +269,6 @@ def _prefix(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     return flat, ids[text], size[text].astype(np.uint32), place.astype(np.uint32)
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, n) of a batch's index lists."""
-    for batch in batches:
-        keys, n = np.unique(_prefix(batch)[0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
-
-
-def _long(table: DataFrame, entries: int, long: int, rate: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(keys, shares, entries to be sent more) of the lists to cut. They are a million at most, whatever the corpus."""
-    long = max(long, entries // 1_000_000)
-    some = table.where(F.pmod(F.xxhash64("doc_id"), F.lit(rate)) == 0).mapInArrow(_lists, "key long, n long")
-    found = some.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") * rate > long).collect() if entries > long else []
-    keys, n = np.array([r[0] for r in found], np.int64).view(np.uint64), np.array([r[1] * rate for r in found], np.int64)
-    order = np.argsort(keys)
-    shares = -(-n // long)
-    return keys[order], shares[order], int((n * (shares - 1)).sum())
-
-
 def _cut(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray, long: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, ...]:
     """The entries with those of long lists once for each share that theirs meets, under a key of the two shares."""
     every = places | np.uint32(_ALL << _SIDE)
@@ -295,10 +290,14 @@ def _cut(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places: np.ndarra
     return tuple(np.concatenate(x) for x in both)
 
 
-def _prefixes(n: int, lists):
-    def send(*entries: np.ndarray) -> pa.RecordBatch:
-        keys, *more = _cut(*entries, *lists.value)
-        return blobs.scatter(blobs.buckets_of(mix(keys), n), [keys, *more], _ENTRIES)
+def _prefixes(n: int, often: int):
+    """Index entries of the sets, by trigram. A trigram of a class from ``often`` on may be in very many sets: its
+    entries are spread over all buckets, marked, and none of these makes pairs."""
+
+    def send(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+        spread = (keys >> np.uint64(56)) >= often
+        bucket = blobs.buckets_of(mix(keys ^ np.where(spread, mix(ids.view(np.uint64)), np.uint64(0))), n)
+        return blobs.scatter(bucket, [keys, ids, sizes, places | (spread.astype(np.uint32) << np.uint32(_SIDE))], _ENTRIES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         box = blobs.Outbox(n)
@@ -334,72 +333,170 @@ def candidates(d: np.ndarray, size: np.ndarray, place: np.ndarray, t: Fraction =
                 yield i[ok], j[ok]
 
 
+_LISTS = ["a", "b", "na", "nb", "common", "key"]
+
+
+def _rows(a: np.ndarray, b: np.ndarray | None, na: np.ndarray, nb: np.ndarray, common: np.ndarray | None, key: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(a), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(a[i : i + 100_000]), pa.int64()) if x is None else pa.array(x[i : i + 100_000].astype(np.int64)) for x in (a, b, na, nb, common, key)], _LISTS)
+
+
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, common): how many of this partition's trigrams two sets have in common in their prefixes."""
+    """(a, b, na, nb, common): how many of this partition's trigrams two sets have in common in their prefixes, in
+    one row or several. Of lists of more than HOT sets, and of marked entries, the entries themselves: (a, na, nb
+    for the place, key)."""
     parts = list(batches)
     k, d, s, p = (blobs.joined(parts, c, t) for c, t in zip(_ENTRIES, (np.uint64, np.int64, np.uint32, np.uint32)))
     del parts
     if not len(k):
         return
     order = np.argsort(k)
-    k = k[order]
-    edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    length = np.diff(np.append(edge, len(k)))
-    order = order[np.repeat(length > 1, length)]
-    d, s, p = d[order], s[order].astype(np.int64), p[order].astype(np.int64)
-    side, p = p >> _SIDE, p & ((1 << _SIDE) - 1)
-    length = length[length > 1]
-    lists = np.repeat(np.arange(len(length)), length)
-    order = np.lexsort((d, s, lists))
-    d, s, p, side = d[order], s[order], p[order], side[order]
+    edge, length = blobs.runs(k[order])
+    spread = p >> np.uint32(_SIDE) > 0
+    order = order[np.repeat(length > 1, length) | spread[order]]
+    k, d, s, p = k[order], d[order], s[order].astype(np.int64), (p[order] & np.uint32((1 << _SIDE) - 1)).astype(np.int64)
+    spread = spread[order]
+    order = np.lexsort((d, s, k))
+    k, d, s, p, spread = k[order], d[order], s[order], p[order], spread[order]
+    new = np.ones(len(k), bool)  # several tasks may have sent the same set
+    new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+    k, d, s, p, spread = k[new], d[new], s[new], p[new], spread[new]
+    length = np.repeat(blobs.runs(k)[1], blobs.runs(k)[1]) if len(k) else np.zeros(0, np.int64)
+    hot = spread | (length > HOT)
+    yield from _rows(d[hot], None, s[hot], p[hot], None, k[hot].view(np.int64))
+    rest = ~hot & (length > 1)
+    k, d, s, p = k[rest], d[rest], s[rest], p[rest]
+    if not len(k):
+        return
+    first, length = blobs.runs(k)
     names, dense = np.unique(d, return_inverse=True)
     dense = dense.reshape(-1).astype(np.int64)
-    first = np.cumsum(length) - length
+    size_of = np.zeros(len(names), np.int64)
+    size_of[dense] = s
     found: list[np.ndarray] = []
     held = 0
-    total: tuple[np.ndarray, np.ndarray] | None = None
-
-    def meet(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return (side[i] != side[j]) | (side[i] == _ALL)
 
-    def merge(total, found):
+    def counted() -> Iterator[pa.RecordBatch]:
         code, count = np.unique(np.concatenate(found), return_counts=True)
-        if total is None:
-            return code, count
-        both = np.concatenate([total[0], code])
-        code, at = np.unique(both, return_inverse=True)
-        return code, np.bincount(at.reshape(-1), np.concatenate([total[1], count])).astype(np.int64)
-
-    # Lists of up to 32 entries are done together: every entry with the one 1, 2, ... places after it.
-    short = length <= 32
-    within = np.arange(len(d)) - np.repeat(first, length)
-    for gap in range(1, 32):
-        at = np.flatnonzero(np.repeat(short, length) & (within + gap < np.repeat(length, length)))
-        if not len(at):
-            continue
-        i, j = at, at + gap
-        found.append(_codes(dense, i, j, _possible(s, p, i, j) & meet(i, j), len(names)))
-    for f, n in zip(first[~short].tolist(), length[~short].tolist()):
-        for i, j in candidates(d[f : f + n], s[f : f + n], p[f : f + n]):
-            found.append(_codes(dense, i + f, j + f, meet(i + f, j + f), len(names)))
-            held += len(i)
-            if held > 4_000_000:
-                total, found, held = merge(total, found), [], 0
+        a, b = code // len(names), code % len(names)
+        yield from _rows(names[a], names[b], size_of[a], size_of[b], count, None)
+
+    def met() -> Iterator[np.ndarray]:
+        # Lists of up to 32 entries are done together: every entry with the one 1, 2, ... places after it.
+        short = np.repeat(length <= 32, length)
+        within, whole = np.arange(len(d)) - np.repeat(first, length), np.repeat(length, length)
+        for gap in range(1, 32):
+            i = np.flatnonzero(short & (within + gap < whole))
+            if len(i):
+                yield _codes(dense, i, i + gap, _possible(s, p, i, i + gap), len(names))
+        for f, n in zip(first[length > 32].tolist(), length[length > 32].tolist()):
+            for i, j in candidates(d[f : f + n], s[f : f + n], p[f : f + n]):
+                yield _codes(dense, i + f, j + f, np.ones(len(i), bool), len(names))
+
+    for codes in met():
+        found.append(codes)
+        held += len(codes)
+        if held > HELD:
+            yield from counted()
+            found, held = [], 0
     if found:
-        total = merge(total, found)
-    if total is None:
-        return
-    code, count = total
-    size_of = np.zeros(len(names), np.int64)
-    size_of[dense] = s
-    for i in range(0, len(code), 100_000):
-        a, b, n = code[i : i + 100_000] // len(names), code[i : i + 100_000] % len(names), count[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b]), pa.array(size_of[a]), pa.array(size_of[b]), pa.array(n.astype(np.int64))], ["a", "b", "na", "nb", "common"])
+        yield from counted()
+
+
+def _listed(lists):
+    """Rows (key, gram, id, size, place, grams) of each set for each of its hot lists, or its shares if it is cut:
+    ``grams`` are all the hot lists that the set is in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 50):
+                batch = whole.slice(begin, 50)
+                ids, size = batch.column("a").to_numpy().astype(np.int64), batch.column("na").to_numpy().astype(np.uint32)
+                hot = [np.array([(x["key"], x["nb"]) for x in h], np.int64).reshape(-1, 2) for h in batch.column("hot").to_pylist()]
+                blob = [np.ascontiguousarray(h[:, 0]).tobytes() for h in hot]
+                n = np.array([len(h) for h in hot])
+                row, flat = np.repeat(np.arange(len(ids)), n), np.concatenate(hot)
+                # The share follows from the id; the row stands for it after the cut.
+                keys, d, s, p = _cut(flat[:, 0].copy().view(np.uint64), ids[row], size[row], flat[:, 1].astype(np.uint32), *lists.value)
+                gram = _cut(flat[:, 0].copy().view(np.uint64), ids[row], np.arange(len(flat)), flat[:, 1].astype(np.uint32), *lists.value)[2]
+                for i in range(0, len(keys), 2000):
+                    g = gram[i : i + 2000]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 2000].view(np.int64)), pa.array(flat[g, 0]), pa.array(d[i : i + 2000]), pa.array(s[i : i + 2000].astype(np.int64)), pa.array(p[i : i + 2000].astype(np.int64)), pa.array([blob[x] for x in row[g].tolist()], pa.binary())], ["key", "gram", "id", "size", "place", "grams"])
+
+    return run
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of the hot lists, in order of their keys: a pair comes from the first list that both sets are in, with
+    the number of all these lists. So a family of n sets gives n^2 / 2 rows, however many trigrams it shares."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = batch.column("key").to_numpy()
+        edge = np.append(blobs.runs(keys)[0], len(keys))
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            if held and held[0].column("key")[0].as_py() != keys[a]:
+                yield from _pairs_of(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield from _pairs_of(held)
+
+
+def _pairs_of(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    d, s, p = (np.concatenate([b.column(c).to_numpy() for b in held]).astype(np.int64) for c in ("id", "size", "place"))
+    side, p = p >> _SIDE, p & ((1 << _SIDE) - 1)
+    own = held[0].column("gram")[0].as_py()
+    grams = [g for b in held for g in blobs.arrays(b.column("grams"), np.int64)]
+    owner = np.repeat(np.arange(len(d)), [len(g) for g in grams])
+    names, column, count = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    column = column.reshape(-1)
+    # Lists before this one that its sets have in common: pairs that are both in the one with most come from there.
+    before = (names < own) & (count > 1)
+    lack = np.ones(len(d), bool)
+    if before.any():
+        lack[owner[column == np.argmax(np.where(before, count, 0))]] = False
+    order = np.argsort(~lack, kind="stable")
+    place = np.empty(len(d), np.int64)
+    place[order] = np.arange(len(d))
+    d, s, p, side, owner = d[order], s[order], p[order], side[order], place[owner]
+    shared = count[column] > 1
+    owner, column = owner[shared], column[shared]
+    by = np.lexsort((column, owner))
+    owner, column = owner[by], column[by]
+    starts = np.searchsorted(owner, np.arange(0, len(d) + _STEP, _STEP))
+
+    def common(x: int, y: int, columns: np.ndarray) -> np.ndarray:
+        """How many of these columns two sets of the blocks x and y have in common."""
+        out = np.zeros((min(_STEP, len(d) - x * _STEP), min(_STEP, len(d) - y * _STEP)), np.float32)
+        for c in range(0, len(columns), 4096):
+            part = columns[c : c + 4096]
+            m = []
+            for z, n in ((x, out.shape[0]), (y, out.shape[1])):
+                o, k = owner[starts[z] : starts[z + 1]], column[starts[z] : starts[z + 1]]
+                at = np.minimum(np.searchsorted(part, k), len(part) - 1)
+                ok = part[at] == k
+                m.append(np.zeros((n, len(part)), np.float32))
+                m[-1][o[ok] - z * _STEP, at[ok]] = 1
+            out += m[0] @ m[1].T
+        return out
+
+    every, before = np.flatnonzero(count > 1), np.flatnonzero(before)
+    for x in range(-(-int(lack.sum()) // _STEP)):
+        for y in range(x, -(-len(d) // _STEP)):
+            i, j = np.meshgrid(np.arange(x * _STEP, min((x + 1) * _STEP, len(d))), np.arange(y * _STEP, min((y + 1) * _STEP, len(d))), indexing="ij")
+            ok = (i < j) & ((side[i] != side[j]) | (side[i] == _ALL)) & _possible(s, p, i, j)
+            if ok.any() and len(before):
+                ok &= common(x, y, before) == 0
+            if ok.any():
+                i, j, n = i[ok], j[ok], common(x, y, every)[ok]
+                less = d[i] < d[j]
+                i, j = np.where(less, i, j), np.where(less, j, i)
+                yield from _rows(d[i], d[j], s[i], s[j], n, None)
 
 
 def _possible(s: np.ndarray, p: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     t = THRESHOLD
-    ok = s[j] * t.numerator <= s[i] * t.denominator
+    ok = np.maximum(s[i], s[j]) * t.numerator <= np.minimum(s[i], s[j]) * t.denominator
     return ok & (np.minimum(s[i] - p[i], s[j] - p[j]) + np.minimum(p[i], p[j]) >= _ceil(t / (1 + t), s[i] + s[j]))
 
 
@@ -465,13 +562,35 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _linked(key, sets: pa.Table, pairs: pa.Table) -> pa.Table:
+    """(doc_a, doc_b, links) of each set that has a similar one here: another one of its component here, or itself,
+    and how many are similar. Pairs don't leave the task."""
+    near = _family(key, sets, pairs)
+    a, b = near.column("doc_a").to_numpy(), near.column("doc_b").to_numpy()
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    at = at.reshape(-1)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, x, label[y])
+        np.minimum.at(low, y, label[x])
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    return pa.table({"doc_a": pa.array(ids, pa.int64()), "doc_b": pa.array(ids[label], pa.int64()), "links": pa.array(np.bincount(at, minlength=len(ids)), pa.int64())})
+
+
 def _family(key, sets: pa.Table, pairs: pa.Table) -> pa.Table:
     ids = sets.column("doc_id").to_numpy()
     order = np.argsort(ids)
     ids = ids[order]
     keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in sets.column("keys")]
     keys = [keys[i] for i in order.tolist()]
-    left, right = np.searchsorted(ids, pairs.column("a").to_numpy()), np.searchsorted(ids, pairs.column("b").to_numpy())
+    a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
+    known = np.isin(a, ids) & np.isin(b, ids)  # not the set of a doc_id's other text
+    left, right = np.searchsorted(ids, a[known]), np.searchsorted(ids, b[known])
     size = np.array([len(k) for k in keys], np.int64)
     common = similar(keys, left, right)
     union = size[left] + size[right] - common
@@ -480,14 +599,37 @@ def _family(key, sets: pa.Table, pairs: pa.Table) -> pa.Table:
     return pa.table({"doc_a": pa.array(a, pa.int64()), "doc_b": pa.array(b, pa.int64()), "jaccard": pa.array(common[ok] / union[ok], pa.float64())})
 
 
-def _join(docs: DataFrame, probes: int | None, long: int = LONG, rate: int = RATE) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, bits) of a 64th of the filter's bits."""
+    bits: dict[int, np.ndarray] = {}
+    for b in batches:
+        h = b.column("h").to_numpy()
+        for k in np.unique(h // (MARKS // 64)).tolist():
+            bits.setdefault(k, np.zeros(MARKS // 64, bool))[h[h // (MARKS // 64) == k] % (MARKS // 64)] = True
+    for k, x in bits.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(x).tobytes()], pa.binary())], ["part", "bits"])
+
+
+def _marked(bits):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = b.column("h").to_numpy()
+            ok = (bits.value[h >> 3] >> (7 - (h & 7)).astype(np.uint8)) & 1
+            yield b.filter(pa.array(ok.astype(bool))).select(["doc_id", "text"])
+
+    return run
+
+
+def _join(docs: DataFrame, probes: int | None, kernel=_family, kept: str = "jaccard double", long: int | None = None, rate: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(one, sets, near): a row for each doc_id with its set's sums and size (null: no words), one for each
-    different set with the document that stands for it and its number of copies, and the pairs of sets."""
+    different set with the document that stands for it and its number of copies, and what ``kernel`` makes of the
+    pairs of sets. ``rate`` has no effect: lists are counted whole."""
     spark = ship(docs.sparkSession)
     least = blobs.partitions(docs)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     digests = written(d.mapInArrow(_digests(probes), "doc_id long, a long, b long, n long, tested long, given long, part int, counts binary"), "digests")
-    classes = spark.sparkContext.broadcast(_classes(digests))  # COUNTERS bytes
+    table, base = _classes(digests)
+    classes = spark.sparkContext.broadcast(table)  # COUNTERS bytes
     each = digests.where("doc_id IS NOT NULL")
     one = each.groupBy("doc_id").agg(F.min(F.when(F.col("n") > 0, F.struct("a", "b", "n", "tested"))).alias("s")).select("doc_id", "s.*")
     sets = one.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("tested").alias("tested"))
@@ -496,15 +638,31 @@ def _join(docs: DataFrame, probes: int | None, long: int = LONG, rate: int = RAT
     m = max(least, given // BUCKET)
     probe = d.where("text IS NOT NULL").mapInArrow(_probes(probes, m), _PROBE).repartitionById(m, F.col("bucket")).mapInArrow(_count_shared, "doc_id long, shared int")
     share = float(THRESHOLD) - 1e-9 if probes is None else SHARE
-    shared = probe.groupBy("doc_id").agg(F.sum("shared").alias("shared"))
-    chosen = sets.withColumnRenamed("rep", "doc_id").join(shared, "doc_id").where(F.col("shared") >= F.col("tested") * share).select("doc_id", "a", "b")
-    rows = d.join(chosen, "doc_id").select("doc_id", "text", "a", "b")
+    shared = probe.groupBy(F.col("doc_id").alias("a")).agg(F.sum("shared").alias("shared"))
+    chosen = written(sets.join(shared, "a").where(F.col("shared") >= F.col("tested") * share).select(F.col("rep").alias("doc_id"), "a", "b"), "chosen")
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
+    bits = np.zeros(MARKS // 8, np.uint8)
+    for r in chosen.select(h.alias("h")).repartitionById(64, (F.col("h") / F.lit(MARKS // 64)).cast("int")).mapInArrow(_marks, "part int, bits binary").collect():
+        bits.reshape(64, -1)[r[0]] = np.frombuffer(r[1], np.uint8)
+    marked = d.where("text IS NOT NULL").withColumn("h", h).mapInArrow(_marked(spark.sparkContext.broadcast(bits)), "doc_id long, text string")
+    rows = marked.join(chosen, "doc_id").select("doc_id", "text", "a", "b")
     table = written(rows.mapInArrow(_set_rows(classes), "doc_id long, n long, keys binary").dropDuplicates(["doc_id"]), "sets")
 
-    entries = table.agg(F.sum(F.col("n") - F.ceil(F.col("n") * float(THRESHOLD)) + 1)).collect()[0][0] or 0
-    *lists, more = _long(table, int(entries), long, rate)
-    m = max(1, (int(entries) + more) // BUCKET)
-    counted = table.mapInArrow(_prefixes(m, spark.sparkContext.broadcast(lists)), "bucket int, keys binary, ids binary, sizes binary, places binary").repartitionById(m, F.col("bucket")).mapInArrow(_index, "a long, b long, na long, nb long, common long")
+    entries = int(table.agg(F.sum(F.col("n") - F.ceil(F.col("n") * float(THRESHOLD)) + 1)).collect()[0][0] or 0)
+    m = max(least, entries // BUCKET)
+    # A counter holds as many as each of its trigrams' lists at least.
+    often = next((c for c in range(256) if base * 2 ** (c / 8) > max(long or LONG, 16 * base)), 256)
+    listed = table.mapInArrow(_prefixes(m, often), "bucket int, keys binary, ids binary, sizes binary, places binary").repartitionById(m, F.col("bucket"))
+    lists = written(listed.mapInArrow(_index, "a long, b long, na long, nb long, common long, key long"), "lists")
+
+    hot = lists.where("key IS NOT NULL").select("a", "na", "nb", "key").distinct()
+    cut = max(long or CUT, entries // 1_000_000)
+    found = sorted((r[0] % 2**64, -(-r[1] // cut)) for r in hot.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > cut).collect())
+    found = spark.sparkContext.broadcast((np.array([k for k, _ in found], np.uint64), np.array([n for _, n in found], np.int64)))
+    of = hot.groupBy("a", "na").agg(F.sort_array(F.collect_list(F.struct("key", "nb"))).alias("hot"))
+    rows = of.mapInArrow(_listed(found), "key long, gram long, id long, size long, place long, grams binary")
+    once = rows.repartition(least, "key").sortWithinPartitions("key").mapInArrow(_once, "a long, b long, na long, nb long, common long, key long")
+    counted = lists.where("key IS NULL").unionByName(once)
     t = float(THRESHOLD)
     # What the prefixes don't have in common follows the prefix that ends first in the order: either set's.
     rest = F.greatest(*(F.ceil(F.col(c) * t - 1e-9) - 1 for c in ("na", "nb")))
@@ -520,8 +678,11 @@ def _join(docs: DataFrame, probes: int | None, long: int = LONG, rate: int = RAT
     placed = placed.select("a", "b", "family").join(blocks, "family").select("family", slot("a").alias("x"), slot("b").alias("y"), "a", "b")
     members = placed.select("family", "x", "y", F.explode(F.array("a", "b")).alias("doc_id")).distinct().toDF("f", "p", "q", "doc_id")
     held = members.join(table.select("doc_id", "keys"), "doc_id")
-    near = held.groupBy("f", "p", "q").cogroup(placed.groupBy("family", "x", "y")).applyInArrow(_family, "doc_a long, doc_b long, jaccard double")
-    return one, sets, near.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "jaccard")
+    near = held.groupBy("f", "p", "q").cogroup(placed.groupBy("family", "x", "y")).applyInArrow(kernel, f"doc_a long, doc_b long, {kept}")
+    # Sets go by their digests so far.
+    name = lambda c: chosen.select(F.col("a").alias(c), F.col("doc_id").alias(f"{c}_id"))
+    near = near.join(name("doc_a"), "doc_a").join(name("doc_b"), "doc_b").drop("doc_a", "doc_b")
+    return one, sets, near
 
 
 def _assign(one: DataFrame, classes: DataFrame, names: list[str]) -> DataFrame:
@@ -545,15 +706,16 @@ def pairs(docs: DataFrame, probes: int | None = -1, **lists: int) -> DataFrame:
     stand for them, and one for each further document of a set, with the one that stands for it."""
     one, sets, near = _join(docs, PROBES if probes == -1 else probes, **lists)
     twins = _assign(one, sets.where("copies > 1"), ["rep"]).where("doc_id <> rep")
+    near = near.select(F.least("doc_a_id", "doc_b_id").alias("doc_a"), F.greatest("doc_a_id", "doc_b_id").alias("doc_b"), "jaccard")
     return near.unionByName(twins.select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")))
 
 
 def links(docs: DataFrame, probes: int | None = -1) -> DataFrame:
     """(doc_id, class_id, n_links), one row for each doc_id: the least doc_id of all that it is connected with
     by pairs and equal sets, its own if with none, and the number of other sets that are similar to its own."""
-    one, sets, near = _join(docs, PROBES if probes == -1 else probes)
-    near = written(near, "near")
-    degree = near.select(F.explode(F.array("doc_a", "doc_b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    one, sets, near = _join(docs, PROBES if probes == -1 else probes, _linked, "links long")
+    near = written(near.select(F.col("doc_a_id").alias("doc_a"), F.col("doc_b_id").alias("doc_b"), "links"), "near")
+    degree = near.groupBy(F.col("doc_a").alias("rep")).agg(F.sum("links").alias("n_links"))
     known = sets.join(degree, "rep", "left").join(groups(near).withColumnRenamed("doc_id", "rep"), "rep", "left").where("copies > 1 OR n_links > 0")
     known = known.withColumn("class_id", F.coalesce("root", "rep")).withColumn("n_links", F.coalesce("n_links", F.lit(0)))
     return _assign(one, known, ["class_id", "n_links"]).select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
