@@ -6,8 +6,8 @@ many other sets are alike. ``pairs`` has the pairs themselves. The steps:
 
 1. Equal sets are one set, for which the document with the least doc_id stands; the others are its copies.
    Copies are counted, never gathered, and meet their set's answers in a join that broadcasts the few largest.
-2. A set with a partner has at least THRESHOLD of its trigrams in some other set. All trigrams of all different
-   sets are shuffled and counted, those that two sets of one task have by the task itself; sets of which fewer are
+2. A set with a partner has at least THRESHOLD of its trigrams in some other set. All trigrams of all
+   documents are shuffled and counted, those that two of one task have by the task itself; sets of which fewer are
    shared have no partner and go. Nothing is sampled. The texts of those left are read again, through a filter of
    ``MARKS`` bits.
 3. Prefix index of the sets left: trigrams are ordered from rare to frequent, by counts over all documents in a
@@ -194,18 +194,12 @@ def _probes(probes: int | None, n: int):
             yield blobs.scatter(blobs.buckets_of(mix(docs.view(np.uint64)), n), [None, docs, None, count.astype(np.int32)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        box, seen = blobs.Outbox(n), set()
+        box = blobs.Outbox(n)
         for batch in batches:
             for part in chunks(batch, "text", _CHUNK):
-                _, grams, offsets = _sets(part)
-                ids, size = _digest(grams, offsets)[0], np.diff(offsets)
-                new = np.zeros(len(ids), bool)
-                new[np.unique(ids, return_index=True)[1]] = True
-                new &= np.array([x not in seen for x in ids.tolist()], bool)
-                seen = set() if len(seen) > 500_000 else seen
-                seen.update(ids[new].tolist())
+                ids, grams, offsets = _sets(part)
+                size = np.diff(offsets)
                 tested, given = _chosen(probes, grams, size)
-                given &= np.repeat(new, size)
                 if box.add(grams[given], np.repeat(ids, size)[given], tested[given].astype(np.uint8)):
                     yield from send(*box.take())
         if (last := box.take()) is not None:
@@ -215,8 +209,8 @@ def _probes(probes: int | None, n: int):
 
 
 def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, shared): how many of the tested trigrams in this partition of a set, by its digest, another one has
-    too. Of a hash 32 bits beside the bucket are compared: two that seem equal keep a set, and lose none."""
+    """(doc_id, shared): how many of the document's tested trigrams in this partition another one has too.
+    Of a hash 32 bits beside the bucket are compared: two that seem equal may keep a set, and lose none."""
     parts = list(batches)
     h, k = blobs.joined(parts, "hashes", np.uint32), blobs.joined(parts, "kinds", np.uint8)
     counted = [i for b in parts for i, c in zip(blobs.arrays(b.column("ids"), np.int64), b.column("shared")) if c.is_valid]
@@ -638,8 +632,8 @@ def _join(docs: DataFrame, probes: int | None, kernel=_family, kept: str = "jacc
     m = max(least, given // BUCKET)
     probe = d.where("text IS NOT NULL").mapInArrow(_probes(probes, m), _PROBE).repartitionById(m, F.col("bucket")).mapInArrow(_count_shared, "doc_id long, shared int")
     share = float(THRESHOLD) - 1e-9 if probes is None else SHARE
-    shared = probe.groupBy(F.col("doc_id").alias("a")).agg(F.sum("shared").alias("shared"))
-    chosen = written(sets.join(shared, "a").where(F.col("shared") >= F.col("tested") * share).select(F.col("rep").alias("doc_id"), "a", "b"), "chosen")
+    shared = probe.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("shared").alias("shared"))
+    chosen = written(sets.join(shared, "rep").where(F.col("shared") >= F.col("tested") * share).select(F.col("rep").alias("doc_id"), "a", "b"), "chosen")
     h = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
     bits = np.zeros(MARKS // 8, np.uint8)
     for r in chosen.select(h.alias("h")).repartitionById(64, (F.col("h") / F.lit(MARKS // 64)).cast("int")).mapInArrow(_marks, "part int, bits binary").collect():
