@@ -506,10 +506,19 @@ def similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
     out = np.zeros(len(left), np.int64)
     todo = np.ones(len(left), bool)
     while todo.any():
-        # The pivot: the set in most of the pairs that are left.
+        # The pivot: the set in most of the pairs that are left. The answers hold for any two sets, so its partners'
+        # partners are done with it: between two blocks of a family no two partners of one set are a pair. Of very
+        # many the rest has its turn later, so that the tables of overlaps are bounded.
         degree = np.bincount(left[todo], minlength=len(sets)) + np.bincount(right[todo], minlength=len(sets))
         pivot = int(degree.argmax())
-        near = np.unique(np.concatenate([left[todo & (right == pivot)], right[todo & (left == pivot)], [pivot]]))
+        inside = np.zeros(len(sets), bool)
+        inside[pivot] = True
+        for most in (FAMILY, 2 * FAMILY):
+            x, y = inside[left] & todo, inside[right] & todo
+            new = np.zeros(len(sets), bool)
+            new[right[x]] = new[left[y]] = True
+            inside[np.flatnonzero(new & ~inside)[: most - int(inside.sum())]] = True
+        near = np.flatnonzero(inside)
         p = sets[pivot]
         more, less = {}, {}
         for x in near.tolist():
@@ -519,12 +528,11 @@ def similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
             have = np.zeros(len(p), bool)
             have[at[common]] = True
             less[x] = np.flatnonzero(~have)
-        inside = np.zeros(len(sets), bool)
-        inside[near] = True
         now = np.flatnonzero(todo & inside[left] & inside[right])
         where = np.full(len(sets), -1)
         where[near] = np.arange(len(near))
-        both = _overlaps([more[x] for x in near.tolist()]) + _overlaps([less[x].astype(np.uint64) for x in near.tolist()])
+        both = _overlaps([more[x] for x in near.tolist()])
+        both += _overlaps([less[x].astype(np.uint64) for x in near.tolist()])
         lack = np.array([len(less[x]) for x in near.tolist()], np.int64)
         i, j = where[left[now]], where[right[now]]
         out[now] = len(p) - lack[i] - lack[j] + both[i, j]
@@ -536,7 +544,7 @@ def similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of small sets, through the lists of the elements that several have."""
     n = len(sets)
-    out = np.zeros((n, n), np.int64)
+    out = np.zeros((n, n), np.int32)
     owner = np.repeat(np.arange(n), [len(x) for x in sets])
     every = np.concatenate(sets) if n else np.zeros(0, np.uint64)
     values, column = np.unique(every, return_inverse=True)
@@ -551,7 +559,8 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
         part = (column >= a) & (column < a + step)
         m = np.zeros((n, min(step, width - a)), np.float32)
         m[owner[part], column[part] - a] = 1
-        out += (m @ m.T).astype(np.int64)
+        for b in range(0, n, 256):
+            out[b : b + 256] += (m[b : b + 256] @ m.T).astype(np.int32)
     np.fill_diagonal(out, [len(x) for x in sets])
     return out
 
@@ -559,12 +568,9 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
 def _linked(key, sets: pa.Table, pairs: pa.Table) -> pa.Table:
     """(doc_a, doc_b, links) of each set that has a similar one here: another one of its component here, or itself,
     and how many are similar. Pairs don't leave the task."""
-    near = _family(key, sets, pairs)
-    a, b = near.column("doc_a").to_numpy(), near.column("doc_b").to_numpy()
-    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    at = at.reshape(-1)
-    x, y = at[: len(a)], at[len(a) :]
-    label = np.arange(len(ids))
+    ids, x, y, _ = _alike(sets, pairs)
+    links = np.bincount(x, minlength=len(ids)) + np.bincount(y, minlength=len(ids))
+    label = np.arange(len(ids), dtype=np.int32)
     while True:
         low = label.copy()
         np.minimum.at(low, x, label[y])
@@ -573,10 +579,17 @@ def _linked(key, sets: pa.Table, pairs: pa.Table) -> pa.Table:
         if (low == label).all():
             break
         label = low
-    return pa.table({"doc_a": pa.array(ids, pa.int64()), "doc_b": pa.array(ids[label], pa.int64()), "links": pa.array(np.bincount(at, minlength=len(ids)), pa.int64())})
+    some = links > 0
+    return pa.table({"doc_a": pa.array(ids[some], pa.int64()), "doc_b": pa.array(ids[label[some]], pa.int64()), "links": pa.array(links[some], pa.int64())})
 
 
 def _family(key, sets: pa.Table, pairs: pa.Table) -> pa.Table:
+    ids, left, right, jaccard = _alike(sets, pairs)
+    return pa.table({"doc_a": pa.array(ids[left], pa.int64()), "doc_b": pa.array(ids[right], pa.int64()), "jaccard": pa.array(jaccard, pa.float64())})
+
+
+def _alike(sets: pa.Table, pairs: pa.Table) -> tuple[np.ndarray, ...]:
+    """(ids, left, right, similarity) of the pairs that are alike, by the places of their sets in ``ids``."""
     ids = sets.column("doc_id").to_numpy()
     order = np.argsort(ids)
     ids = ids[order]
@@ -584,13 +597,13 @@ def _family(key, sets: pa.Table, pairs: pa.Table) -> pa.Table:
     keys = [keys[i] for i in order.tolist()]
     a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
     known = np.isin(a, ids) & np.isin(b, ids)  # not the set of a doc_id's other text
-    left, right = np.searchsorted(ids, a[known]), np.searchsorted(ids, b[known])
+    left, right = (np.searchsorted(ids, c[known]).astype(np.int32) for c in (a, b))
+    del a, b, known
     size = np.array([len(k) for k in keys], np.int64)
     common = similar(keys, left, right)
     union = size[left] + size[right] - common
     ok = common * THRESHOLD.denominator >= union * THRESHOLD.numerator
-    a, b = ids[left[ok]], ids[right[ok]]
-    return pa.table({"doc_a": pa.array(a, pa.int64()), "doc_b": pa.array(b, pa.int64()), "jaccard": pa.array(common[ok] / union[ok], pa.float64())})
+    return ids, left[ok], right[ok], common[ok] / union[ok]
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
