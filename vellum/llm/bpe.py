@@ -74,6 +74,10 @@ def words(path: str) -> Words:
     return Words(path)
 
 
+#: What keeps tables between tasks.
+KEEPERS = (encoding, _patterns, words)
+
+
 def pretokens(text: str) -> list[str]:
     plane, every = _patterns()
     return (plane if text.isascii() or max(text) < "\U00010000" else every).findall(text)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.text_kernel import chunks, mix, ngram_hashes, word_hashes
-from vellum.session import ship, written
+from vellum.session import ship, tidy, written
 
 SHINGLE = 3
 SIMILARITY = 0.7
@@ -261,7 +261,7 @@ def _screened(docs: DataFrame, screen: Screen, some: bool) -> DataFrame:
                 keep[[w[0] for w in shared.value.windows(part.column(at))]] = some
                 yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -283,7 +283,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         t, i, p, n, v = zip(*rows)
                         yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(t)), pa.array(i, pa.int64()), pa.array(p, pa.int64()), pa.array(n, pa.int64()), pa.array(v, pa.float64())], ["doc_id", "item_id", "first_word", "n_words", "similarity"])
 
-        found = d.mapInArrow(run, SCHEMA)
+        found = d.mapInArrow(tidy(run), SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -304,5 +304,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     keep[[r[0] for r in shared.value.weighed(table.value).search(part.column(at))]] = False
                     yield part.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(tidy(run), docs.schema)
     return out if len(slices) == 1 else out.unionAll(_screened(docs, screen, False))

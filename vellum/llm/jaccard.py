@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm import blobs
 from vellum.llm.text_kernel import chunks, mix, ngram_hashes, word_hashes
-from vellum.session import free_name, ship, written
+from vellum.session import free_name, ship, tidy, written
 
 SHINGLE = 3
 THRESHOLD = Fraction(3, 5)
@@ -634,7 +634,7 @@ def _join(docs: DataFrame, probes: int | None, kernel=_family, kept: str = "jacc
     spark = ship(docs.sparkSession)
     least = blobs.partitions(docs)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    digests = written(d.mapInArrow(_digests(probes), "doc_id long, a long, b long, n long, tested long, given long, part int, counts binary"), "digests")
+    digests = written(d.mapInArrow(tidy(_digests(probes)), "doc_id long, a long, b long, n long, tested long, given long, part int, counts binary"), "digests")
     table, base = _classes(digests)
     classes = spark.sparkContext.broadcast(table)  # COUNTERS bytes
     each = digests.where("doc_id IS NOT NULL")
@@ -643,7 +643,7 @@ def _join(docs: DataFrame, probes: int | None, kernel=_family, kept: str = "jacc
 
     given = each.agg(F.sum("given")).collect()[0][0] or 0
     m = max(least, given // BUCKET)
-    probe = d.where("text IS NOT NULL").mapInArrow(_probes(probes, m), _PROBE).repartitionById(m, F.col("bucket")).mapInArrow(_count_shared, "doc_id long, shared int")
+    probe = d.where("text IS NOT NULL").mapInArrow(tidy(_probes(probes, m)), _PROBE).repartitionById(m, F.col("bucket")).mapInArrow(tidy(_count_shared), "doc_id long, shared int")
     share = float(THRESHOLD) - 1e-9 if probes is None else SHARE
     shared = probe.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("shared").alias("shared"))
     chosen = written(sets.join(shared, "rep").where(F.col("shared") >= F.col("tested") * share).select(F.col("rep").alias("doc_id"), "a", "b"), "chosen")
@@ -652,23 +652,24 @@ def _join(docs: DataFrame, probes: int | None, kernel=_family, kept: str = "jacc
     for r in chosen.select(h.alias("h")).repartitionById(64, (F.col("h") / F.lit(MARKS // 64)).cast("int")).mapInArrow(_marks, "part int, bits binary").collect():
         bits.reshape(64, -1)[r[0]] = np.frombuffer(r[1], np.uint8)
     marked = d.where("text IS NOT NULL").withColumn("h", h).mapInArrow(_marked(spark.sparkContext.broadcast(bits)), "doc_id long, text string")
-    rows = marked.join(chosen, "doc_id").select("doc_id", "text", "a", "b")
-    table = written(rows.mapInArrow(_set_rows(classes), "doc_id long, n long, keys binary").dropDuplicates(["doc_id"]), "sets")
+    # Always a merge: with a broadcast both kernels would stand in one stage, with a worker each for every task.
+    rows = marked.join(chosen.hint("merge"), "doc_id").select("doc_id", "text", "a", "b")
+    table = written(rows.mapInArrow(tidy(_set_rows(classes)), "doc_id long, n long, keys binary").dropDuplicates(["doc_id"]), "sets")
 
     entries = int(table.agg(F.sum(F.col("n") - F.ceil(F.col("n") * float(THRESHOLD)) + 1)).collect()[0][0] or 0)
     m = max(least, entries // BUCKET)
     # A counter holds as many as each of its trigrams' lists at least.
     often = next((c for c in range(256) if base * 2 ** (c / 8) > max(long or LONG, 16 * base)), 256)
-    listed = table.mapInArrow(_prefixes(m, often), "bucket int, keys binary, ids binary, sizes binary, places binary").repartitionById(m, F.col("bucket"))
-    lists = written(listed.mapInArrow(_index, "a long, b long, na long, nb long, common long, key long"), "lists")
+    listed = table.mapInArrow(tidy(_prefixes(m, often)), "bucket int, keys binary, ids binary, sizes binary, places binary").repartitionById(m, F.col("bucket"))
+    lists = written(listed.mapInArrow(tidy(_index), "a long, b long, na long, nb long, common long, key long"), "lists")
 
     hot = lists.where("key IS NOT NULL").select("a", "na", "nb", "key").distinct()
     cut = max(long or CUT, entries // 1_000_000)
     found = sorted((r[0] % 2**64, -(-r[1] // cut)) for r in hot.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > cut).collect())
     found = spark.sparkContext.broadcast((np.array([k for k, _ in found], np.uint64), np.array([n for _, n in found], np.int64)))
     of = hot.groupBy("a", "na").agg(F.sort_array(F.collect_list(F.struct("key", "nb"))).alias("hot"))
-    rows = of.mapInArrow(_listed(found), "key long, gram long, id long, size long, place long, grams binary")
-    once = rows.repartition(least, "key").sortWithinPartitions("key").mapInArrow(_once, "a long, b long, na long, nb long, common long, key long")
+    rows = of.mapInArrow(tidy(_listed(found)), "key long, gram long, id long, size long, place long, grams binary")
+    once = rows.repartition(least, "key").sortWithinPartitions("key").mapInArrow(tidy(_once), "a long, b long, na long, nb long, common long, key long")
     counted = lists.where("key IS NULL").unionByName(once)
     t = float(THRESHOLD)
     # What the prefixes don't have in common follows the prefix that ends first in the order: either set's.

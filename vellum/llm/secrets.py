@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm import bpe
-from vellum.session import ship
+from vellum.session import ship, tidy
 
 MIN_LENGTH = 16
 MIN_NAMED = 12
@@ -170,7 +170,7 @@ def scan(docs: DataFrame, path: str | None = None, known_digests: frozenset[str]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), _types)], _names)
 
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(tidy(run, *bpe.KEEPERS), SCHEMA)
 
 
 _names = ["doc_id", "start", "length", "secret", "n_tokens", "chars_per_token"]
@@ -199,7 +199,7 @@ def redact(docs: DataFrame, path: str | None = None, mark: str = "[SECRET]", kno
             yield batch.set_column(at, batch.schema.field(at), texts)
 
     ship(docs.sparkSession)
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(tidy(run, *bpe.KEEPERS), docs.schema)
     if "n_chars" in docs.columns:
         changed = F.length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(F.col("text").contains(mark), changed).otherwise(F.col("n_chars")))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.session import ship
+from vellum.session import ship, tidy
 
 UNKNOWN = 10.0
 MARK = "▁"
@@ -269,4 +269,4 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, size, same], ["doc_id", "ids", "n_pieces", "round_trip"])
 
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(tidy(run, model), SCHEMA)

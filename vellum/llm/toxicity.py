@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from vellum.llm.text_kernel import chunks, mix, words
-from vellum.session import free_name, ship
+from vellum.session import free_name, ship, tidy
 
 SAMPLE = 1500
 WINDOW = 3
@@ -269,14 +269,14 @@ def _scored(docs: DataFrame, model: Model, only: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in chunks(batch, at):
+            for part in chunks(batch, at, 1 << 20):
                 scores = model.scores(part.column(at))
                 keep = pa.array((scores > THRESHOLD) == (only == "toxic"))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], [*part.schema.names, name]).filter(keep)
 
     ship(docs.sparkSession)
     schema = StructType([*docs.schema.fields]).add(name, "double")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def reject(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

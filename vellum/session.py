@@ -1,13 +1,16 @@
-"""Session helpers: worker import path, the shared folder and tables written to cut lineage."""
+"""Session helpers: worker import path and memory, the shared folder and tables written to cut lineage."""
 
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
@@ -34,6 +37,39 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: The cached functions whose tables this worker keeps.
+_kept: list[Callable] = []
+
+
+def _keep(kept: tuple[Callable, ...]) -> None:
+    for f in _kept:
+        if f not in kept:
+            f.cache_clear()
+    _kept[:] = kept
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *kept: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for workers that outlive its task and go on with other operators: what cached functions of operators
+    before it hold goes, but for ``kept``; at the task's end free memory goes back to the system."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep(kept)
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return tidied
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where that is unset (tests, local mode) a folder of our own."""
     own = spark.conf.get("spark.checkpoint.dir", None)
