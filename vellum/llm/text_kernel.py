@@ -23,7 +23,7 @@ _rng = np.random.RandomState(20_240_229)
 _T = _rng.randint(0, 2**63 - 1, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[np.r_[ord("a") : ord("z") + 1, ord("0") : ord("9") + 1, 128:256]] = True
-#: Powers that a process keeps; more are worked out where they are used, in a small part of the hashing's time.
+#: Powers that a process keeps; more are worked out from them where they are used.
 POWERS = 1 << 16
 _pow: np.ndarray = np.ones(1, np.uint64)
 _inv: np.ndarray = np.ones(1, np.uint64)
@@ -33,13 +33,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _pow, _inv
     if len(_pow) >= n:
         return _pow, _inv
-    n = max(n, POWERS)
-    with np.errstate(over="ignore"):
-        power = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, _B, np.uint64)])
-        inv = pow(_B, -1, 1 << 64)
-        inverse = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, inv, np.uint64)])
-    if n == POWERS:
-        _pow, _inv = power, inverse
+    if len(_pow) < POWERS:
+        with np.errstate(over="ignore"):
+            _pow = np.multiply.accumulate(np.r_[np.uint64(1), np.full(POWERS - 1, _B, np.uint64)])
+            _inv = np.multiply.accumulate(np.r_[np.uint64(1), np.full(POWERS - 1, pow(_B, -1, 1 << 64), np.uint64)])
+    if n <= POWERS:
+        return _pow, _inv
+    rows = -(-n // POWERS)
+    power, inverse = (
+        np.multiply.outer(np.array([pow(int(x[1]), POWERS * i, 1 << 64) for i in range(rows)], np.uint64), x).ravel()
+        for x in (_pow, _inv)
+    )
     return power, inverse
 
 
