@@ -66,6 +66,20 @@ def test_aggregate(spark):
     assert (none.total, none.min_dpi, none.median_dpi, none.form_percent, none.threshold) == (0, 0.0, 0.0, 0.0, 150)
 
 
+def test_ranks_are_counted(spark):
+    """The values of ranks, ties and all, come from counts: no aggregate's buffer holds the values of all images."""
+    dpis = [round(0.5 + (i * 7919 % 1300) / 8, 3) for i in range(2_000)] + [0.0] * 50
+    df = spark.createDataFrame([(d, 0 < d < 150) for d in dpis], "effective_dpi double, below_threshold boolean")
+    out = corpus.dpi_statistics(df)
+    known = sorted(d for d in dpis if d > 0)
+    r = out.first()
+    assert (r.images, r.min_dpi, r.median_dpi, r.p95_dpi) == (2_000, round(known[0], 1), round(known[999], 1), round(known[1_899], 1))
+    assert (r.below, r.below_percent) == (n := sum(d < 150 for d in known), round(n / 20, 1))
+    for plan in (out, corpus.aggregate(spark.createDataFrame([outcome(1, dpis=[300, 100])], OUTCOMES))):
+        assert "percentile" not in plan._jdf.queryExecution().toString()
+    assert tuple(corpus.dpi_statistics(df.where("effective_dpi < 0")).first()) == (0, 0.0, 0.0, 0.0, 0, 0.0)
+
+
 def test_rates(spark):
     rows = [("de", "hello", "hallo", 0.95), ("de", "", "garbage", 0.4), (None, "", "", 0.6), ("en", "two words", "two extra words", 0.9), ("en", "a  　 b", "a b", 1.0), ("en", None, None, None)]
     m = ocr.measured(spark.createDataFrame(rows, "language string, reference string, hypothesis string, confidence double")).collect()

@@ -39,18 +39,32 @@ def counts(rows: DataFrame, column: str, values: list[str], whole: Column | None
     return n.withColumn("percent", percent(F.col("count"), total)).where(order > 0).withColumn("ordinal", order.cast("int"))
 
 
-def nearest_rank(c: str, q: float) -> Column:
-    """Value of rank ceil(q n), to one place, half-even; 0 of none."""
-    return F.coalesce(half_even(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {c})").cast("double"), 1), F.lit(0.0))
+def ranked(values: DataFrame, c: str, *counts: Column) -> DataFrame:
+    """A row for each value of ``c`` to one place, half-even: its number of rows ``n``, theirs and those of all lesser
+    values ``up_to``, all rows ``whole``, and ``counts``. Rounding keeps the order, so that the value of any rank is
+    among these. Only different values meet in one place, not the rows: tenths of a unit, however many there are."""
+    g = values.groupBy(half_even(F.col(c), 1).alias("value")).agg(F.count("*").alias("n"), *counts)
+    return g.withColumns({"up_to": F.sum("n").over(W.orderBy("value")), "whole": F.sum("n").over(W.partitionBy())})
+
+
+def nearest_rank(percentile: int) -> Column:
+    """Of ``ranked`` rows: the value of rank ceil(n percentile / 100), in whole numbers; 0 of none."""
+    return F.coalesce(F.min(F.when(F.col("up_to") * 100 >= F.col("whole") * percentile, F.col("value"))), F.lit(0.0))
+
+
+def _total(c: str) -> Column:
+    return F.coalesce(F.sum(c), F.lit(0).cast("long"))
+
+
+def _figures() -> list[Column]:
+    """Of ``ranked`` rows: how many images have a resolution, the least, median and 95th per cent."""
+    return [_total("n").alias("images"), F.coalesce(F.min("value"), F.lit(0.0)).alias("min_dpi"), nearest_rank(50).alias("median_dpi"), nearest_rank(95).alias("p95_dpi")]
 
 
 def dpi_statistics(images: DataFrame, c: str = "effective_dpi") -> DataFrame:
     """One row: how many images have a resolution, the least, median and 95th per cent, how many are below."""
-    known = images.where(F.col(c) > 0)
-    return known.agg(
-        F.count("*").alias("images"), F.coalesce(half_even(F.min(c), 1), F.lit(0.0)).alias("min_dpi"), nearest_rank(c, 0.5).alias("median_dpi"), nearest_rank(c, 0.95).alias("p95_dpi"),
-        F.count_if("below_threshold").alias("below"), percent(F.count_if("below_threshold"), F.count("*")).alias("below_percent"),
-    )
+    r = ranked(images.where(F.col(c) > 0), c, F.count_if("below_threshold").alias("_below"))
+    return r.agg(*_figures(), _total("_below").alias("below"), percent(_total("_below"), _total("n")).alias("below_percent"))
 
 
 def dpi_histogram(images: DataFrame, c: str = "effective_dpi") -> DataFrame:
@@ -86,8 +100,6 @@ def aggregate(outcomes: DataFrame) -> DataFrame:
     images = outcomes.select(F.explode("effective_dpis").alias("effective_dpi")).where("effective_dpi > 0")
     v = F.col("effective_dpi")
     tests = [v < 150, (v >= 150) & (v < 300), (v >= 300) & (v < 600), v >= 600]
-    dpi = images.agg(
-        F.count("*").alias("images"), F.coalesce(half_even(F.min(v), 1), F.lit(0.0)).alias("min_dpi"), nearest_rank("effective_dpi", 0.5).alias("median_dpi"), nearest_rank("effective_dpi", 0.95).alias("p95_dpi"),
-        F.array(*(F.struct(F.lit(b).alias("bucket"), some(t).alias("count")) for b, t in zip(DPI_BUCKETS, tests))).alias("histogram"),
-    )
+    dpi = ranked(images, "effective_dpi", *(some(t).alias(f"_{i}") for i, t in enumerate(tests)))
+    dpi = dpi.agg(*_figures(), F.array(*(F.struct(F.lit(b).alias("bucket"), _total(f"_{i}").alias("count")) for i, b in enumerate(DPI_BUCKETS))).alias("histogram"))
     return head.crossJoin(dpi).withColumn("images_below_percent", percent(F.col("images_below"), F.col("images")))
