@@ -209,3 +209,48 @@ def test_checkbox_and_names():
     assert (f[0]["fqn"], f[0]["is_checked"], f[0]["value"], f[0]["rect"]) == ("a.b", True, "Yes", {"x": 1, "y": 2, "width": 4, "height": 4})
     assert (f[1]["value"], f[1]["is_checked"], f[1]["page"]) == ("x, y", None, 0) and r["document"][0]["has_xfa"]
     assert Keyword("x") == "x"
+
+
+def test_strings_at_once_are_their_codes_one_by_one():
+    from vellum.kernel.fonts import Font
+    from vellum.kernel.objects import Name
+
+    rnd = random.Random(3)
+    simple = {"Subtype": Name("Type1"), "Encoding": {"BaseEncoding": Name("WinAnsiEncoding"), "Differences": [128, Name("eacute"), Name("nothing"), Name("fi"), Name("uni00410042")]}}
+    kinds = [simple, simple | {"FirstChar": 32, "Widths": [250, 333.3, 0, 408]}, {"FontDescriptor": {"Flags": 4}}, {"Subtype": Name("Type0"), "DescendantFonts": [{"DW": 700, "W": [65, [500.1, 600], 300, 400, 250]}]}]
+    for d in kinds:
+        f = Font(d, lambda x: x, lambda x: x)
+        for size, char, word, scale in ((12.0, 0.0, 0.0, 1.0), (11.3, 0.0, 2.0, 0.9), (9.0, 0.1, 0.0, 1.0), (10.5, 1.0, 3.0, 1.0)):
+            data = bytes(rnd.choices(range(256), k=rnd.randint(0, 90)))
+            codes = f.codes(data)
+            each = [f._one(c) for c in codes]
+            assert f.text(codes) == ("".join(t for t, *_ in each), sum(x[3] == 1 for x in each), sum(x[3] == 2 for x in each))
+            at = 7.25
+            for _, width, blank, _ in each:
+                at += (width / 1000 * size + char + (word if blank else 0.0)) * scale
+            assert f.advance(7.25, codes, size, char, word, scale) == at
+
+
+def test_texts_are_read_only_where_runs_are_wanted(monkeypatch):
+    from vellum.kernel import fonts
+
+    data = text_pdf("Some words\n" * 60, image=True, ruled=True, field="v")
+    whole = analyze(data)
+
+    def read(*_):
+        raise AssertionError("a text was read")
+
+    monkeypatch.setattr(fonts.Font, "text", read)
+    for facets in (("document", "field"), ("field",), ("page", "image")):
+        part = analyze(data, facets=facets)
+        assert all(part[k] == whole[k] and whole[k] for k in facets)
+
+
+def test_many_blocks_and_usual_tables():
+    for n in (16, 32):
+        key, data = bytes(range(n)), bytes(i * 7 & 255 for i in range(1_600))
+        assert crypto.aes_cbc_decrypt(key, key[:16], crypto.aes_cbc_encrypt(key, key[:16], data)) == data
+    assert crypto.user_entry(b"abcde", b"", 2) == crypto.rc4(b"abcde", crypto.PAD)
+    made = text_pdf("Hello")
+    odd = made.replace(b"0000000000 65535 f \n", b"0000000000 65535 f\t\n")  # not as tables are written mostly
+    assert analyze(made)["run"] == analyze(odd)["run"] and analyze(made)["run"][0]["text"] == "Hello"

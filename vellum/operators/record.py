@@ -10,7 +10,7 @@ from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, Struct
 
 from vellum.functions.scalars import algorithm_name, rejection_reason
 from vellum.operators import documents, images, pages, text
-from vellum.sources.pdf import facts, split
+from vellum.sources.pdf import ALL, facts, split
 from vellum.session import written
 
 SCHEMA_VERSION = "1.2"
@@ -37,7 +37,7 @@ class Facts:
     """The fact tables of a set of documents. The bytes are read once, by the gate, the hash and the kernel: their
     rows are written in the shared folder and every table is a filter over them."""
 
-    def __init__(self, binary: DataFrame, password: str | None = None, threshold: int = images.THRESHOLD, facets: tuple[str, ...] = ("document", "page", "run", "image", "field"), hashed: bool = False):
+    def __init__(self, binary: DataFrame, password: str | None = None, threshold: int = images.THRESHOLD, facets: tuple[str, ...] = ALL, hashed: bool = False):
         rows = written(facts(binary, password, facets, hashed), "facts")
         self.sources = split(rows, "source")
         self.rejected = self.sources.where("reason IS NOT NULL").select("doc_id", "reason")

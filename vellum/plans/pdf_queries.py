@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from vellum.functions.scalars import algorithm_name
 from vellum.operators import corpus, rasters
 from vellum.operators.record import Facts, to_json
+from vellum.operators.text import plain_text
 from vellum.plans.queries import query
 from vellum.session import spread, table
 from vellum.sources import samples
+from vellum.sources.pdf import ALL, facts, split
 from vellum.sources.synthesize import pdfs
 from vellum.streaming import incremental
 
@@ -23,37 +25,47 @@ l AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) -
 """
 
 
-def documents(spark: SparkSession, sf_dir: str) -> Facts:
-    """A document's language and source say which variant of a file its text becomes."""
+def made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, content): a document's language and source say which variant of a file its text becomes."""
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     field = F.when(F.col("source").endswith("1"), F.col("doc_id").cast("string"))
     ends = F.col("source").endswith
     font = F.when(ends("2"), "composite").when(ends("4"), "differences")
     secure = F.when(ends("3"), F.when(F.col("lang") == "en", 4).when(F.col("lang") == "de", 2).when(F.col("lang") == "fr", 3).otherwise(6))
     flags = {"flate": F.col("lang") != "de", "xref_stream": F.col("lang") == "fr", "ruled": ends("5"), "image": ends("7"), "field": field, "font": font, "packed": ends("0"), "secure": secure, "revised": ends("8"), "nested": ends("6")}
-    return Facts(pdfs(d.select("doc_id", "text", *(c.alias(k) for k, c in flags.items()))))
+    return pdfs(d.select("doc_id", "text", *(c.alias(k) for k, c in flags.items())))
+
+
+def documents(spark: SparkSession, sf_dir: str, *facets: str) -> Facts:
+    """Every document's facts of the kinds that a query is about: the kernel passes over all files, whichever they are."""
+    return Facts(made(spark, sf_dir), facets=facets or ALL)
+
+
+def one(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """The same of one kind, for queries that go over it once: as it comes from the kernel, without a written table."""
+    return split(facts(made(spark, sf_dir), facets=(kind,)), kind)
 
 
 @query(_LINES + "p AS (SELECT doc_id, n // 50 AS page, string_agg(t || chr(10), '' ORDER BY n) || chr(10) AS t FROM l GROUP BY ALL) SELECT CAST(doc_id AS VARCHAR) AS doc_id, string_agg(t, '' ORDER BY page) AS text FROM p GROUP BY doc_id")
 def pdf_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).text()
+    return plain_text(one(spark, sf_dir, "run"))
 
 
 @query(_LINES + "p AS (SELECT doc_id, n // 50 AS page, count(*) AS n, sum(length(t)) AS chars FROM l GROUP BY ALL) SELECT CAST(doc_id AS VARCHAR) AS doc_id, page::INT AS page, n AS runs, chars::BIGINT AS chars, CASE WHEN source LIKE '%5' THEN 5 ELSE 0 END::BIGINT AS rulings FROM p JOIN documents USING (doc_id)")
 def pdf_page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = documents(spark, sf_dir)
+    f = documents(spark, sf_dir, "page", "run")
     runs = f.runs.groupBy("doc_id", "page").agg(F.count("*").alias("runs"), F.sum(F.length("text")).alias("chars"))
     return f.pages.select("doc_id", "page", F.col("ruling_line_count").alias("rulings")).join(runs, ["doc_id", "page"]).select("doc_id", "page", "runs", "chars", "rulings")
 
 
 @query(_LINES + "p AS (SELECT doc_id, max(n) // 50 + 1 AS pages FROM l GROUP BY doc_id) SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, unnest(range(0, coalesce(pages, 1)))::INT AS page, 'Im0' AS name, 1.882353 AS effective_dpi, true AS below_threshold, 0.25 AS page_area_fraction FROM documents d LEFT JOIN p USING (doc_id) WHERE d.source LIKE '%7'".replace("1.882353", "round(least(8 * 72.0::DOUBLE / 306, 8 * 72.0::DOUBLE / 396), 6)").replace("0.25 AS", "0.25::DOUBLE AS"))
 def pdf_image_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).images.select("doc_id", "page", "name", F.round("effective_dpi", 6).alias("effective_dpi"), "below_threshold", F.round("page_area_fraction", 6).alias("page_area_fraction"))
+    return documents(spark, sf_dir, "page", "image").images.select("doc_id", "page", "name", F.round("effective_dpi", 6).alias("effective_dpi"), "below_threshold", F.round("page_area_fraction", 6).alias("page_area_fraction"))
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'name' AS fqn, 'label' AS label, 'Tx' AS field_type, CAST(doc_id AS VARCHAR) AS value, 0 AS page FROM documents WHERE source LIKE '%1'")
 def pdf_form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).fields.select("doc_id", "fqn", "label", "field_type", "value", "page")
+    return one(spark, sf_dir, "field").select("doc_id", "fqn", "label", "field_type", "value", "page")
 
 
 @query(_LINES + "g AS (SELECT doc_id, sum(length(t)) AS chars FROM l GROUP BY doc_id) SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, 'Processed' AS status, CASE WHEN d.source LIKE '%1' THEN 'FormBased' WHEN coalesce(chars, 0) >= 24 THEN 'DigitalText' WHEN d.source LIKE '%7' THEN 'ScannedImageOnly' ELSE 'DigitalText' END AS category FROM documents d LEFT JOIN g USING (doc_id)")
@@ -78,7 +90,7 @@ q AS (SELECT *, CASE WHEN source LIKE '%1' AND page = 0 THEN 'FormPage' WHEN run
 
 @query(_CLASSES + """SELECT CAST(doc_id AS VARCHAR) AS doc_id, page::INT AS page, page_class, (CASE WHEN page_class = 'FormPage' THEN 0.85 WHEN page_class = 'DigitalText' AND (runs >= 3 OR cover >= 0.01) THEN CASE WHEN cover < 0.02 THEN 0.55 ELSE 0.9 END WHEN page_class = 'Empty' AND runs = 0 THEN 1.0 WHEN page_class = 'TableOrComplexLayout' THEN 0.5 ELSE 0.4 END)::DOUBLE AS page_confidence FROM q""")
 def pdf_page_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).classified().select("doc_id", "page", "page_class", "page_confidence")
+    return documents(spark, sf_dir, "page", "run", "image", "field").classified().select("doc_id", "page", "page_class", "page_confidence")
 
 
 @query(_CLASSES + """, tx AS (SELECT doc_id, md5(string_agg(t, chr(10) ORDER BY n)) AS texts, count(*) AS runs FROM l GROUP BY doc_id),
@@ -109,13 +121,13 @@ def pdf_corpus_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, source LIKE '%3' AS encrypted, CASE WHEN source NOT LIKE '%3' THEN 'None' WHEN lang = 'en' THEN 'AES-128' WHEN lang IN ('de', 'fr') THEN 'RC4' ELSE 'AES-256' END AS algorithm, CASE WHEN source NOT LIKE '%3' THEN 0 WHEN lang = 'en' THEN 4 WHEN lang = 'de' THEN 2 WHEN lang = 'fr' THEN 3 ELSE 6 END AS revision, CASE WHEN source LIKE '%3' THEN 'UserPassword' ELSE 'NotRequired' END AS authentication FROM documents")
 def pdf_security(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).documents.select("doc_id", F.col("is_encrypted").alias("encrypted"), algorithm_name(F.col("algorithm")).alias("algorithm"), "revision", "authentication")
+    return one(spark, sf_dir, "document").select("doc_id", F.col("is_encrypted").alias("encrypted"), algorithm_name(F.col("algorithm")).alias("algorithm"), "revision", "authentication")
 
 
 @query(_LINES + "g AS (SELECT doc_id, sum(length(t)) AS chars FROM l GROUP BY doc_id) SELECT CAST(doc_id AS VARCHAR) AS doc_id, source LIKE '%2' AS composite, chars::BIGINT AS authoritative, 0::BIGINT AS fallback, 0::BIGINT AS unmapped, 1::BIGINT AS fonts FROM g JOIN documents USING (doc_id)")
 def pdf_decode_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the codes of each document's fonts were read, by encodings, names of differences and code maps."""
-    f = documents(spark, sf_dir)
+    f = documents(spark, sf_dir, "page", "run")
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").endswith("2").alias("composite"))
     fonts = f.pages.groupBy("doc_id").agg(F.max("font_distinct_count").cast("long").alias("fonts"))
     sums = f.runs.groupBy("doc_id").agg(*(F.sum(c).cast("long").alias(c) for c in ("authoritative", "fallback", "unmapped")))

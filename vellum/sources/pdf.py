@@ -26,6 +26,8 @@ _KINDS: dict[str, list[tuple[str, pa.DataType]]] = {
 _SCHEMA = pa.schema([("doc_id", pa.string()), ("kind", pa.string()), *((k, pa.struct(v)) for k, v in _KINDS.items())])
 _SQL = {pa.int32(): "int", pa.int64(): "long", pa.float64(): "double", pa.string(): "string", pa.bool_(): "boolean", pa.binary(): "binary", pa.list_(pa.string()): "array<string>", pa.list_(pa.float64()): "array<double>", _RECT: "struct<x:double,y:double,width:double,height:double>"}
 FACTS = "doc_id string, kind string, " + ", ".join(f"{k} struct<{', '.join(f'`{n}`: {_SQL[t]}' for n, t in v)}>" for k, v in _KINDS.items())
+#: The kinds of facts that tables are made of.
+ALL = ("document", "page", "run", "image", "field")
 #: Facts of one document that are held before they are passed on.
 _HELD = 5_000
 
@@ -50,7 +52,7 @@ def gated(binary: DataFrame) -> DataFrame:
     return binary.withColumn("gate", preflight(F.col("content")))
 
 
-def facts(binary: DataFrame, password: str | None = None, facets: tuple[str, ...] = ("document", "page", "run", "image", "field"), hashed: bool = False) -> DataFrame:
+def facts(binary: DataFrame, password: str | None = None, facets: tuple[str, ...] = ALL, hashed: bool = False) -> DataFrame:
     """Fact rows of the documents in (doc_id, content): one pass over the bytes for the gate, the hash (if
     ``hashed``) and the kernel, whichever facets are wanted; only the wanted ones cross back. Each file has a row
     of kind "source"; the bytes of those that fail the gate never leave the JVM."""
@@ -62,7 +64,8 @@ def facts(binary: DataFrame, password: str | None = None, facets: tuple[str, ...
         def sent(kind: str) -> pa.RecordBatch:
             """One kind's rows; the other kinds' columns are null."""
             ids, rows = held.pop(kind)
-            columns = [pa.array(rows, pa.struct(t)) if k == kind else pa.nulls(len(ids), pa.struct(t)) for k, t in _KINDS.items()]
+            own = lambda t: pa.StructArray.from_arrays([pa.array([r[n] for r in rows], x) for n, x in t], fields=[pa.field(n, x) for n, x in t])
+            columns = [own(t) if k == kind else pa.nulls(len(ids), pa.struct(t)) for k, t in _KINDS.items()]
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array([kind] * len(ids), pa.string()), *columns], schema=_SCHEMA)
 
         for batch in batches:
