@@ -2,19 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from vellum.functions.scalars import char_distance, rate, tokens, word_distance
+from vellum.functions.scalars import rate
+from vellum.session import free_name, ship
 
 BANDS = [("0.0-0.5", 0.0, 0.5), ("0.5-0.7", 0.5, 0.7), ("0.7-0.9", 0.7, 0.9), ("0.9-1.0", 0.9, 1.01)]
 
 
-def measured(samples: DataFrame) -> DataFrame:
-    """Adds distances, lengths and rates of characters and words."""
-    r, h = F.col("reference"), F.col("hypothesis")
-    out = samples.withColumns({"char_edits": char_distance(r, h), "chars": F.length(F.coalesce(r, F.lit(""))), "word_edits": word_distance(r, h), "words": F.size(tokens(r))})
+def measured(samples: DataFrame, *keep: str) -> DataFrame:
+    """Adds distances, lengths and rates of characters and words to all columns, or to those to ``keep``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from vellum.kernel.distances import measures
+
+        for b in batches:
+            *kept, r, h = b.columns
+            found = [pa.array(x, pa.int32()) for x in measures(r.to_pylist(), h.to_pylist())]
+            yield pa.RecordBatch.from_arrays([*kept, *found], names)
+
+    ship(samples.sparkSession)
+    rest = samples.select(*(F.col(f"`{c}`") for c in keep or samples.columns))
+    r = free_name("_r", rest.columns)
+    h = free_name("_h", [*rest.columns, r])
+    text = lambda c, name: F.make_valid_utf8(F.coalesce(c, F.lit(""))).alias(name)
+    schema = StructType([*rest.schema.fields, *(StructField(c, IntegerType()) for c in ("char_edits", "chars", "word_edits", "words"))])
+    names = schema.names
+    rows = samples.select(*(F.col(f"`{c}`") for c in rest.columns), text(F.col("reference"), r), text(F.col("hypothesis"), h))
+    out = rows.mapInArrow(run, schema)
     return out.withColumns({"cer": rate(F.col("char_edits"), F.col("chars")), "wer": rate(F.col("word_edits"), F.col("words"))})
 
 
@@ -26,7 +47,7 @@ def _figures() -> list[Column]:
 def report(samples: DataFrame) -> DataFrame:
     """(scope, name, figures ...): of all samples and of each language, in one pass of grouping sets. A sample
     without a word distance is in none of the figures of words."""
-    m = measured(samples).withColumn("language", F.coalesce("language", F.lit("")))
+    m = measured(samples, "language").withColumn("language", F.coalesce("language", F.lit("")))
     g = m.groupingSets([["language"], []], "language").agg(F.grouping("language").alias("_all"), *_figures())
     return g.select(F.when(F.col("_all") == 1, "total").otherwise("language").alias("scope"), F.coalesce("language", F.lit("")).alias("name"), *(c for c in g.columns if c not in ("language", "_all")))
 
@@ -35,7 +56,7 @@ def calibration(samples: DataFrame) -> DataFrame:
     """Each confidence band with its samples' micro error rate: a range join to four bands, also of none."""
     spark = samples.sparkSession
     bands = spark.createDataFrame([(i, *b) for i, b in enumerate(BANDS)], "ordinal int, band string, low double, high double")
-    m = measured(samples).select("confidence", "char_edits", "chars")
+    m = measured(samples, "confidence").select("confidence", "char_edits", "chars")
     # Four rows; every sample meets them on its own side of the shuffle.
     joined = m.join(F.broadcast(bands), (F.col("confidence") >= F.col("low")) & (F.col("confidence") < F.col("high")))
     sums = joined.groupBy("ordinal").agg(F.count("*").alias("n"), F.sum("char_edits").alias("_e"), F.sum("chars").alias("_c"))

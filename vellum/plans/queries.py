@@ -321,7 +321,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_SAMPLE + "SELECT doc_id, line, ce::INT AS char_edits, cn::INT AS chars, we::INT AS word_edits, wn::INT AS words, round(cer, 9) AS cer, round(wer, 9) AS wer FROM z")
 def ocr_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ocr.measured(samples(spark, sf_dir)).select("doc_id", "line", "char_edits", "chars", "word_edits", "words", F.round("cer", 9).alias("cer"), F.round("wer", 9).alias("wer"))
+    return ocr.measured(samples(spark, sf_dir), "doc_id", "line").select("doc_id", "line", "char_edits", "chars", "word_edits", "words", F.round("cer", 9).alias("cer"), F.round("wer", 9).alias("wer"))
 
 
 @query(_SAMPLE + """SELECT CASE WHEN grouping(language) = 1 THEN 'total' ELSE 'language' END AS scope, coalesce(language, '') AS name, count(*) AS samples, round(avg(cer), 9) AS macro_cer, round(avg(wer), 9) AS macro_wer, round(coalesce(sum(ce)::DOUBLE / nullif(sum(cn), 0), 0), 9) AS micro_cer, round(coalesce(sum(we)::DOUBLE / nullif(sum(wn), 0), 0), 9) AS micro_wer FROM z GROUP BY GROUPING SETS ((language), ())""")
