@@ -127,3 +127,15 @@ def test_colour_images(spark):
     got = {r.doc_id: r for r in rasters.color_images(df).collect()}
     assert set(got) == {"palette", "ink", "mask", "pattern"} and bytes(got["palette"].samples) == b"\xff\x00\x00\x00\xff\x00"
     assert bytes(got["ink"].samples)[:3] == b"\xff\xff\xff" and max(got["ink"].samples[3:]) < 60 and bytes(got["mask"].samples) == b"\xff\x00" and got["pattern"].error
+
+
+def test_sums_of_samples(spark):
+    """Samples are added up a whole image at once, not by an expression for each byte."""
+    from vellum.operators import rasters
+    from vellum.plans import pdf_queries
+
+    made = [("a", 2, 1, 1, bytearray(b"\xff\x01"), None), ("b", 1, 1, 3, bytearray(range(100, 103)), None), ("c", 0, 0, 0, bytearray(), None), ("d", 10, 20, 1, bytearray(200 * b"\x02"), None)]
+    df = spark.createDataFrame(made, "doc_id string, width int, height int, components int, samples binary, error string")
+    got = {r.doc_id: (r.total, r.weighted) for r in rasters.sums(df, 97).collect()}
+    assert got == {"a": (256, 257), "b": (303, 100 + 202 + 306), "c": (0, 0), "d": (400, sum(2 * (i % 97 + 1) for i in range(200)))}
+    assert "conv(" not in pdf_queries.pdf_images(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()

@@ -78,6 +78,22 @@ def color_images(binary: DataFrame, password: str | None = None) -> DataFrame:
     return split(facts(binary, password, ("raster",)), "raster")
 
 
+def sums(images: DataFrame, period: int) -> DataFrame:
+    """(doc_id, width, height, components, total, weighted): all samples added up, plain and with weights that go from
+    1 to ``period`` again and again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for b in batches:
+            found = [np.frombuffer(s or b"", np.uint8).astype(np.int64) for s in b.column(4).to_pylist()]
+            weighted = [int((v * (np.arange(len(v)) % period + 1)).sum()) for v in found]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([int(v.sum()) for v in found], pa.int64()), pa.array(weighted, pa.int64())], ["doc_id", "width", "height", "components", "total", "weighted"])
+
+    ship(images.sparkSession)
+    return images.select("doc_id", "width", "height", "components", "samples").mapInArrow(run, "doc_id string, width int, height int, components int, total long, weighted long")
+
+
 def bmp(width: int, height: int, components: int, samples: bytes) -> bytes:
     """A 24-bit bitmap file, as engines read it."""
     import numpy as np

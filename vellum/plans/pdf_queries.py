@@ -157,10 +157,7 @@ def pdf_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels of an image of each codec and colour space, as their sum and a sum weighted by place."""
     made = samples.pictures(spread(table(spark, sf_dir, "documents").select("doc_id")))
     r = rasters.color_images(made)
-    value = lambda i: F.conv(F.hex(F.substring("samples", i, F.lit(1))), 16, 10).cast("long")
-    places = F.sequence(F.lit(1), F.length("samples"))
-    add = lambda f: F.aggregate(places, F.lit(0).cast("long"), lambda a, i: a + f(i))
-    return r.where("error IS NULL").select("doc_id", "width", "height", "components", add(value).alias("total"), add(lambda i: value(i) * (1 + (i - 1) % 97)).alias("weighted"))
+    return rasters.sums(r.where("error IS NULL"), 97)
 
 
 @query("SELECT CAST(time_bucket(INTERVAL 1 HOUR, ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
